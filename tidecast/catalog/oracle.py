@@ -183,7 +183,8 @@ PANEL = """panel AS (
   FROM cells FULL JOIN pv ON cells.id = pv.id AND cells.day = pv.date)"""
 
 LINES = """l AS (
-  SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_shipdate AS DATE) AS date, l_quantity, l_extendedprice
+  SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_shipdate AS DATE) AS date, l_quantity,
+         l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge
   FROM lineitem)"""
 
 ORDERS = """SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day
@@ -278,7 +279,7 @@ FROM (SELECT DISTINCT item_id, store_id FROM p) k
 FROM l""",
     "encode_price": with_(LINES)
     + f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
-  {rolled('r', [30], [7], by='l_returnflag', value='l_extendedprice', digits=2)}
+  {rolled('r', [30], [7], by='l_returnflag', value='charge', digits=2)}
 FROM l""",
     "encode_no_partition": with_(LINES)
     + f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_returnflag, {DATE}, l_quantity,

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.operators import TargetEncoder
-from tidecast.operators.base import quoted
-from tidecast.plans.backtest import cross_val_forecast
 from tidecast.models import Passthrough
-from tidecast.operators import TimeBasedSplit
+from tidecast.operators import TargetEncoder, TimeBasedSplit
+from tidecast.plans.backtest import cross_val_forecast
 from tidecast.plans.features import SERIES_COLUMNS
-from tidecast.sources import table
+from tidecast.sources import read_csv_strings, table, write_csv
+from tidecast.storage import scratch_path
 
 
 def shipped(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,7 +88,7 @@ def day_key(day: Column, first: Column) -> Column:
 
 
 def wide(spark: SparkSession, folder: str, long: DataFrame) -> DataFrame:
-    """A panel with one text column per day, ``d_1`` and so on, and six id columns (panel W)."""
+    """A panel as a CSV file with six id columns and one per day, ``d_1`` and so on, read as text (panel W)."""
     rows = shipped(spark, folder)
     span = rows.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
     names = [f"d_{i}" for i in range(1, (span["last"] - span["first"]).days + 2)]
@@ -102,10 +101,12 @@ def wide(spark: SparkSession, folder: str, long: DataFrame) -> DataFrame:
         "state_id": F.concat(F.lit("state_"), "store_id"),
     }
     keyed = long.select(
-        *[ids[c].alias(c) for c in SERIES_COLUMNS], day_key(F.col("date"), F.lit(span["first"])).alias("d"), "sales"
+        *[ids[c].alias(c) for c in SERIES_COLUMNS],
+        day_key(F.col("date"), F.lit(span["first"])).alias("d"),
+        F.col("sales").cast("int").alias("sales"),
     )
     pivoted = keyed.groupBy(*SERIES_COLUMNS).pivot("d", names).agg(F.sum("sales"))
-    return pivoted.select(*SERIES_COLUMNS, *[quoted(c).cast("int").cast("string").alias(c) for c in names])
+    return read_csv_strings(spark, write_csv(pivoted, scratch_path(spark, "actuals")))
 
 
 def purchases(spark: SparkSession, folder: str) -> DataFrame:

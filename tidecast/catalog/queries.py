@@ -356,8 +356,9 @@ def encode_month(spark, folder):
 
 
 def line_rows(spark, folder):
+    charge = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     return panels.shipped(spark, folder).select(
-        "l_orderkey", "l_linenumber", "l_returnflag", "date", "l_quantity", "l_extendedprice"
+        "l_orderkey", "l_linenumber", "l_returnflag", "date", "l_quantity", charge.alias("charge")
     )
 
 
@@ -367,13 +368,13 @@ def encode_coarse(spark, folder):
     rows = rolling("day", [7, 30], [1, 7], value_col="l_quantity", partition_cols=["l_returnflag"])(
         line_rows(spark, folder)
     )
-    return rows.drop("l_extendedprice")
+    return rows.drop("charge")
 
 
 @query
 def encode_price(spark, folder):
     """As encode_coarse, over amounts that are no whole numbers."""
-    rows = rolling("day", [30], [7], value_col="l_extendedprice", partition_cols=["l_returnflag"])(
+    rows = rolling("day", [30], [7], value_col="charge", partition_cols=["l_returnflag"])(
         line_rows(spark, folder)
     )
     return shown(rows.select("l_orderkey", "l_linenumber", "r_window_30_lag_7_mean", "r_window_30_lag_7_std"), 2)
@@ -382,7 +383,7 @@ def encode_price(spark, folder):
 @query
 def encode_no_partition(spark, folder):
     rows = rolling("day", [7, 30], [1], value_col="l_quantity", partition_cols=None)(line_rows(spark, folder))
-    return rows.drop("l_extendedprice")
+    return rows.drop("charge")
 
 
 ALL_FUNCTIONS = ("mean", "std", "min", "max", "sum", "count", "var", "stddev_pop", "var_pop")

@@ -16,7 +16,7 @@ from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators.base import quoted
+from tidecast.operators.base import quoted, ticked
 
 TEMP = "tc_"
 
@@ -30,10 +30,6 @@ class Forecaster:
         raise NotImplementedError
 
 
-def ticked(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def added(expression: str, output_col: str) -> SQLTransformer:
     """A stage that adds one column."""
     return SQLTransformer(statement=f"SELECT *, CAST({expression} AS DOUBLE) AS {ticked(output_col)} FROM __THIS__")

@@ -9,8 +9,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.models.base import TEMP, Forecaster, added, fitted, labelled, ticked
-from tidecast.operators.base import quoted
+from tidecast.models.base import TEMP, Forecaster, added, fitted, labelled
+from tidecast.operators.base import quoted, ticked
 
 
 @dataclass(frozen=True)

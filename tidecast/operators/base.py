@@ -37,9 +37,19 @@ class Chain(Operator):
         return reduce(DataFrame.transform, self.steps, df)
 
 
+def ticked(name: str) -> str:
+    """A name as SQL text, dots and spaces included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    """The column of exactly this name, dots and spaces included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """The column of exactly this name."""
+    return F.col(ticked(name))
+
+
+def text_literal(value: str) -> str:
+    """A string as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def paired(inputs: Sequence[str], outputs: Sequence[str] | None) -> list[tuple[str, str]]:

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators.base import Operator, quoted
+from tidecast.operators.base import Operator, quoted, text_literal, ticked
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -33,8 +33,9 @@ class MeltDataFrame(Operator):
         if values is None:
             ids = {c.lower() for c in self.id_vars}
             values = [c for c in df.columns if c.lower() not in ids]
-        names = F.array(*[F.lit(v) for v in values])
-        cells = F.array(*[quoted(v) for v in values])
+        # SQL text, since thousands of Column objects take long to build from Python.
+        names = F.expr(f"array({', '.join(map(text_literal, values))})")
+        cells = F.expr(f"array({', '.join(map(ticked, values))})")
         return df.select(
             *[quoted(c).alias(c) for c in self.id_vars],
             F.inline(F.arrays_zip(names.alias("name"), cells.alias("value"))).alias(self.var_name, self.value_name),

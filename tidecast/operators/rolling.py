@@ -255,7 +255,7 @@ class TargetEncoder(Operator):
         for w, lag, f, _ in self.specs():
             if f not in functions or (w, lag, f) in found:
                 continue
-            name, = fresh(moments, f"{f}_{w}_{lag}")
+            name, = fresh(moments, f"own_{f}_{w}_{lag}")
             frame = series.rangeBetween(-unit * (lag + w - 1), -unit * lag)
             aggregate = {"min": F.min(columns.low), "max": F.max(columns.high), "sum": F.sum(columns.plain)}[f]
             cols.append(aggregate.over(frame).alias(name))
