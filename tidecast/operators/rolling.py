@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.functions.periods import PANEL_FREQUENCIES, Frequency
-from tidecast.operators.base import Operator, fresh, quoted
+from tidecast.operators.base import Operator, fresh, quoted, ticked
 
 # Aggregate names callers may use, and the name each one stands for.
 FUNCTIONS = {
@@ -31,9 +31,6 @@ FUNCTIONS = {
     "max": "max",
 }
 
-# Functions with an aggregate of their own in a sliding frame.
-DIRECT = ("min", "max", "sum")
-
 # Whole numbers up to this size are exact in a double.
 EXACT = float(2**52)
 
@@ -103,223 +100,231 @@ class TargetEncoder(Operator):
     def transform(self, df: DataFrame) -> DataFrame:
         parts = list(self.partition_cols or [])
         outputs = {name.lower() for name in self.output_cols}
-        kept = [c for c in df.columns if c.lower() not in outputs]
+        df = df.select(*[quoted(c) for c in df.columns if c.lower() not in outputs])
+        period, *names = fresh(df, "period", "n", "total", "squares", "m2", "whole", "value", "low", "high")
+        rows = df.select("*", self._period(df).alias(period))
+        native = any(f in ("min", "max", "sum") for *_, f, _ in self.specs())
+        integral = isinstance(df.schema[self.value_col].dataType, T.IntegralType)
+        sums = _Sums(ticked(period), *names, native=native, integral=integral)
         if self.one_row_per_period and parts:
-            return self._encode_rows(df.select(*map(quoted, kept)), parts)
-        return self._encode_grouped(df.select(*map(quoted, kept)), parts)
-
-    def _period(self, df: DataFrame) -> Column:
-        day = quoted(self.date_col).cast("date")
-        if Frequency.parse(self.date_frequency) is Frequency.MONTH:
-            return F.months_between(day, df.agg(F.min(day)).scalar())
-        return F.unix_date(day)
+            moments, sums = sums.of_rows(rows, self.value_col)
+            encoded = self._encode(moments, parts, sums)
+            return encoded.select(*map(quoted, df.columns), *map(quoted, self.output_cols))
 
-    def _encode_rows(self, df: DataFrame, parts: list[str]) -> DataFrame:
-        """Windows straight over the rows."""
-        kept = df.columns
-        period, *names = fresh(df, "period", "n", "sum", "squares", "m2", "whole", "plain", "low", "high")
-        columns, total_type = _Moments(*names), _sum_type(df.schema[self.value_col].dataType)
-        value = quoted(self.value_col)
-        rows = df.select("*", self._period(df).alias(period))
-        # Rows without a date must not enter the running totals of dated rows.
-        x = F.when(F.col(period).isNotNull(), value)
-        rows = rows.select("*", *columns.of_row(x, total_type))
-        encoded = self._encode_moments(rows, parts, period, columns, df)
-        return encoded.select(*map(quoted, kept), *[quoted(c) for c in self.output_cols])
-
-    def _encode_grouped(self, df: DataFrame, parts: list[str]) -> DataFrame:
-        """Windows over one row per partition and period, joined back to the rows."""
-        kept = df.columns
-        period, *names = fresh(df, "period", "n", "sum", "squares", "m2", "whole", "plain", "low", "high")
-        columns, total_type = _Moments(*names), _sum_type(df.schema[self.value_col].dataType)
-        rows = df.select("*", self._period(df).alias(period))
-        moments = (
-            rows.where(F.col(period).isNotNull())
-            .groupBy(*map(quoted, parts), period)
-            .agg(*columns.of_group(quoted(self.value_col), total_type))
-        )
-        encoded = self._encode_moments(moments, parts, period, columns, df)
+        moments, sums = sums.of_groups(rows, [*parts, period], self.value_col)
+        encoded = self._encode(moments, parts, sums)
         keys = fresh(df, *[f"key_{c}" for c in parts], "key_period")
-        right = encoded.select(
-            *[quoted(c).alias(k) for c, k in zip(parts, keys)],
-            F.col(period).alias(keys[-1]),
-            *[quoted(c) for c in self.output_cols],
+        encoded = encoded.select(
+            *[quoted(c).alias(k) for c, k in zip([*parts, period], keys)], *map(quoted, self.output_cols)
         )
         same = F.col(period) == F.col(keys[-1])
         for c, k in zip(parts, keys):
             same = same & quoted(c).eqNullSafe(F.col(k))
-        joined = rows.join(right, same, "left")
-        return joined.select(*map(quoted, kept), *[quoted(c) for c in self.output_cols])
+        joined = rows.join(encoded, same, "left")
+        return joined.select(*map(quoted, df.columns), *map(quoted, self.output_cols))
 
-    def _encode_moments(
-        self, moments: DataFrame, parts: list[str], period: str, columns: "_Moments", df: DataFrame
-    ) -> DataFrame:
-        monthly = Frequency.parse(self.date_frequency) is Frequency.MONTH
-        needs_sums = any(f not in ("min", "max") for *_, f, _ in self.specs())
-        series = Window.partitionBy(*map(quoted, parts)).orderBy(period)
-        whole_series = series.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        if monthly or not self.running_totals or not needs_sums:
-            return self._slide(moments, series, whole_series, period, columns, df)
+    def _period(self, df: DataFrame) -> Column:
+        day = quoted(self.date_col).cast("date")
+        if self._monthly:
+            return F.months_between(day, df.agg(F.min(day)).scalar())
+        return F.unix_date(day)
 
+    @property
+    def _monthly(self) -> bool:
+        return Frequency.parse(self.date_frequency) is Frequency.MONTH
+
+    def _offsets(self, window: int, lag: int) -> tuple[int, int]:
+        """Distance of the far and the near end of a frame, in units of the period column."""
+        unit = 7 if Frequency.parse(self.date_frequency) is Frequency.WEEK else 1
+        return unit * (lag + window - 1), unit * lag
+
+    def _encode(self, moments: DataFrame, parts: list[str], sums: "_Sums") -> DataFrame:
+        """All columns of ``moments`` and the outputs. The frames are written as SQL text: there
+        are dozens, and Column objects are slow to build from Python."""
+        by = f"PARTITION BY {', '.join(map(ticked, parts))} " if parts else ""
+        series = f"{by}ORDER BY {sums.period} RANGE BETWEEN"
+        everything = f"({series} UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        if self._monthly or not self.running_totals:
+            return self._slide(moments, series, everything, sums)
         exact, = fresh(moments, "exact")
-        # Products of two window totals stay below the bound if n * squares does.
-        bound = F.sum(columns.n).over(whole_series) * F.sum(columns.squares).over(whole_series)
-        flagged = moments.select(
-            "*", F.coalesce(F.min(columns.whole).over(whole_series) & (bound < EXACT), F.lit(True)).alias(exact)
+        # Products of two frame sums stay exact if the product over the whole series does.
+        flagged = moments.selectExpr(
+            "*",
+            f"coalesce(min({sums.whole}) OVER {everything} AND {sums.intact(everything)} AND "
+            f"{sums.n()} OVER {everything} * sum({sums.squares}) OVER {everything} < {EXACT!r}D, true) AS {exact}",
         )
-        totals = self._total(flagged.where(F.col(exact)), series, period, columns, df)
-        slides = self._slide(flagged.where(~F.col(exact)), series, whole_series, period, columns, df)
+        totals = self._total(flagged.where(F.col(exact)), series, sums)
+        slides = self._slide(flagged.where(~F.col(exact)), series, everything, sums)
         return totals.unionByName(slides)
 
-    def _unit(self) -> int:
-        return 7 if Frequency.parse(self.date_frequency) is Frequency.WEEK else 1
-
-    def _finish(
-        self, framed: DataFrame, keep: list[str], period: str, sums, direct, df: DataFrame
-    ) -> DataFrame:
-        """Output columns from the sums of each frame."""
-        total_type = _sum_type(df.schema[self.value_col].dataType)
-        out = []
-        for w, lag, f, name in self.specs():
-            col = direct.get((w, lag, f))
-            if col is None:
-                col = _from_sums(f, *sums(w, lag), total_type)
-            # A row without a date has no past, and no count either.
-            out.append(F.when(F.col(period).isNotNull(), col).alias(name))
-        return framed.select(*map(quoted, keep), *out)
-
-    def _total(self, moments: DataFrame, series, period: str, columns: "_Moments", df: DataFrame) -> DataFrame:
+    def _total(self, moments: DataFrame, series: str, sums: "_Sums") -> DataFrame:
         """Frame sums as differences of running totals."""
-        keep, unit = moments.columns, self._unit()
+        columns = {"n": sums.n(), "total": f"sum({sums.total})", "squares": f"sum({sums.squares})"}
+        if any(f == "sum" for *_, f, _ in self.specs()):
+            columns["plain"] = f"sum({sums.plain})"
         ends = sorted(
-            {e for w, lag, f, _ in self.specs() if f not in ("min", "max") for e in (unit * lag, unit * (lag + w - 1) + 1)}
+            {e for w, lag, *_ in self.specs() for far, near in [self._offsets(w, lag)] for e in (near, far + 1)}
         )
-        names = {}
-        running = []
-        for end in ends:
-            upto = series.rangeBetween(Window.unboundedPreceding, -end)
-            names[end] = fresh(moments, f"n_{end}", f"sum_{end}", f"squares_{end}")
-            for source, name in zip((columns.n, columns.sum, columns.squares), names[end]):
-                running.append(F.sum(source).over(upto).alias(name))
-        slid, direct = self._direct(moments, series, columns, ("min", "max"))
-        framed = moments.select("*", *running, *slid)
-
-        def sums(w: int, lag: int) -> tuple[Column, Column, Column, Column]:
-            to, before = names[unit * lag], names[unit * (lag + w - 1) + 1]
-            n, total, squares = (
-                F.coalesce(F.col(a), F.lit(0)) - F.coalesce(F.col(b), F.lit(0)) for a, b in zip(to, before)
-            )
-            return n, total, squares * n - total * total, F.lit(0.0)
-
-        return self._finish(framed, keep, period, sums, direct, df)
-
-    def _slide(
-        self, moments: DataFrame, series, whole_series, period: str, columns: "_Moments", df: DataFrame
-    ) -> DataFrame:
+        running = [
+            f"coalesce({aggregate} OVER ({series} UNBOUNDED PRECEDING AND {_bound(end)}), 0) AS {sums.named(c, end)}"
+            for end in ends
+            for c, aggregate in columns.items()
+        ]
+
+        def framed(w: int, lag: int) -> dict[str, str]:
+            far, near = self._offsets(w, lag)
+            found = {c: f"({sums.named(c, near)} - {sums.named(c, far + 1)})" for c in columns}
+            return {**found, "centre": "0D"}
+
+        return self._finish(moments, series, moments.columns, sums, running, framed)
+
+    def _slide(self, moments: DataFrame, series: str, everything: str, sums: "_Sums") -> DataFrame:
         """Frame sums over sliding frames, of values centred on the mean of their series."""
-        keep, unit = moments.columns, self._unit()
-        centre, n, total, spread = fresh(moments, "centre", "shifted_n", "shifted_sum", "shifted_squares")
-        usual = columns.finite()
-        mean = F.sum(F.when(usual, F.col(columns.sum))).over(whole_series) / F.sum(
-            F.when(usual, F.col(columns.n))
-        ).over(whole_series)
+        centre, = fresh(moments, "centre")
+        usual = f"CASE WHEN abs({sums.total}) < double('Infinity') THEN"
+        mean = (
+            f"sum({usual} {sums.total} END) OVER {everything} / "
+            f"sum({usual} {sums.n_of_row()} END) OVER {everything}"
+        )
         # A whole centre keeps whole numbers whole.
-        mean = F.when(F.min(columns.whole).over(whole_series), F.rint(mean)).otherwise(mean)
-        centred = moments.select("*", F.coalesce(mean, F.lit(0.0)).alias(centre))
-        offset = F.col(columns.sum) / F.col(columns.n) - F.col(centre)
-        centred = centred.select(
-            "*",
-            (F.col(columns.n) * offset).alias(total),
-            (F.col(columns.m2) + F.col(columns.n) * offset * offset).alias(spread),
+        whole = f"min({sums.whole}) OVER {everything}"
+        centred = moments.selectExpr(
+            "*", f"coalesce(CASE WHEN {whole} THEN rint({mean}) ELSE {mean} END, 0D) AS {centre}"
         )
-        names, framing = {}, []
-        for w, lag, f, _ in self.specs():
-            if f in DIRECT or (w, lag) in names:
-                continue
-            frame = series.rangeBetween(-unit * (lag + w - 1), -unit * lag)
-            names[w, lag] = fresh(centred, f"n_{w}_{lag}", f"sum_{w}_{lag}", f"squares_{w}_{lag}")
-            for source, name in zip((columns.n, total, spread), names[w, lag]):
-                framing.append(F.sum(source).over(frame).alias(name))
-        slid, direct = self._direct(centred, series, columns, DIRECT)
-        framed = centred.select("*", *framing, *slid)
-
-        def sums(w: int, lag: int) -> tuple[Column, Column, Column, Column]:
-            n, total, squares = map(F.col, names[w, lag])
-            return F.coalesce(n, F.lit(0)), total, squares * n - total * total, F.col(centre)
-
-        return self._finish(framed, keep, period, sums, direct, df)
-
-    def _direct(self, moments: DataFrame, series, columns: "_Moments", functions: tuple[str, ...]):
-        """Sliding frames of the functions that have an aggregate of their own."""
-        unit, cols, found = self._unit(), [], {}
-        for w, lag, f, _ in self.specs():
-            if f not in functions or (w, lag, f) in found:
-                continue
-            name, = fresh(moments, f"own_{f}_{w}_{lag}")
-            frame = series.rangeBetween(-unit * (lag + w - 1), -unit * lag)
-            aggregate = {"min": F.min(columns.low), "max": F.max(columns.high), "sum": F.sum(columns.plain)}[f]
-            cols.append(aggregate.over(frame).alias(name))
-            found[w, lag, f] = F.col(name)
-        return cols, found
+        shifted, spread = sums.around(centre)
+        columns = {"n": sums.n(), "total": f"sum({shifted})", "squares": f"sum({spread})"}
+        if any(f == "sum" for *_, f, _ in self.specs()):
+            columns["plain"] = f"sum({sums.plain})"
+        sliding = [
+            f"{aggregate} OVER ({series} {_bound(far)} AND {_bound(near)}) AS {sums.named(c, far, near)}"
+            for far, near in sorted({self._offsets(w, lag) for w, lag, *_ in self.specs()})
+            for c, aggregate in columns.items()
+        ]
+
+        def framed(w: int, lag: int) -> dict[str, str]:
+            far, near = self._offsets(w, lag)
+            found = {c: sums.named(c, far, near) for c in columns}
+            return {**found, "n": f"coalesce({found['n']}, 0)", "centre": centre}
+
+        return self._finish(centred, series, moments.columns, sums, sliding, framed)
+
+    def _finish(
+        self, moments: DataFrame, series: str, keep: list[str], sums: "_Sums", frames: list[str], framed
+    ) -> DataFrame:
+        """Outputs from the sums of each frame; minima and maxima have frames of their own."""
+        extremes = {
+            (f, *self._offsets(w, lag)): f"{f}({sums.low if f == 'min' else sums.high})"
+            for w, lag, f, _ in self.specs()
+            if f in ("min", "max")
+        }
+        frames = frames + [
+            f"{aggregate} OVER ({series} {_bound(far)} AND {_bound(near)}) AS {sums.named(f, far, near)}"
+            for (f, far, near), aggregate in extremes.items()
+        ]
+        out = []
+        for w, lag, f, name in self.specs():
+            if f in ("min", "max"):
+                value = sums.named(f, *self._offsets(w, lag))
+            else:
+                value = _from_sums(f, **framed(w, lag))
+            # A row without a date has no past.
+            out.append(f"CASE WHEN {sums.period} IS NOT NULL THEN {value} END AS {ticked(name)}")
+        return moments.selectExpr("*", *frames).selectExpr(*map(ticked, keep), *out)
 
 
 @dataclass(frozen=True)
-class _Moments:
-    """Names of the columns that sum up the values of one row or one period."""
+class _Sums:
+    """SQL text for the columns that sum up the values of one row or one period."""
 
-    n: str
-    sum: str
+    period: str
+    count: str
+    total: str
     squares: str
     m2: str
     whole: str
-    plain: str
+    value: str
     low: str
     high: str
+    native: bool
+    integral: bool
+    grouped: bool = False
 
-    def finite(self) -> Column:
-        return F.abs(F.col(self.sum)) < float("inf")
-
-    def of_row(self, value: Column, total_type: str) -> list[Column]:
-        x = value.cast("double")
-        return [
-            F.when(value.isNotNull(), 1).alias(self.n),
-            x.alias(self.sum),
-            (x * x).alias(self.squares),
-            (x - x).alias(self.m2),
-            (x == F.rint(x)).alias(self.whole),
-            value.cast(total_type).alias(self.plain),
-            value.alias(self.low),
-            value.alias(self.high),
+    def of_rows(self, rows: DataFrame, value_col: str) -> tuple[DataFrame, "_Sums"]:
+        # Rows without a date must not enter the running totals of dated rows.
+        value = f"CASE WHEN {self.period} IS NOT NULL THEN {ticked(value_col)} END"
+        total = f"CAST({value} AS DOUBLE)"
+        columns = [
+            f"{total} AS {self.total}",
+            f"{total} * {total} AS {self.squares}",
+            f"{total} = rint({total}) AS {self.whole}",
         ]
+        if self.native:
+            columns.append(f"{value} AS {self.value}")
+        return rows.selectExpr("*", *columns), replace(self, low=self.value, high=self.value)
+
+    def of_groups(self, rows: DataFrame, keys: list[str], value_col: str) -> tuple[DataFrame, "_Sums"]:
+        value = ticked(value_col)
+        x = f"CAST({value} AS DOUBLE)"
+        columns = {
+            self.count: f"count({value})",
+            self.total: f"sum({x})",
+            self.squares: f"sum({x} * {x})",
+            self.m2: f"var_pop({x}) * count({value})",
+            self.whole: f"min({x} = rint({x}))",
+        }
+        if self.native:
+            kind = "BIGINT" if self.integral else "DOUBLE"
+            columns |= {
+                self.value: f"sum(CAST({value} AS {kind}))",
+                self.low: f"min({value})",
+                self.high: f"max({value})",
+            }
+        dated = rows.where(F.expr(f"{self.period} IS NOT NULL"))
+        grouped = dated.groupBy(*map(quoted, keys)).agg(*[F.expr(e).alias(c) for c, e in columns.items()])
+        return grouped, replace(self, grouped=True)
 
-    def of_group(self, value: Column, total_type: str) -> list[Column]:
-        x = value.cast("double")
-        return [
-            F.count(value).alias(self.n),
-            F.sum(x).alias(self.sum),
-            F.sum(x * x).alias(self.squares),
-            (F.var_pop(x) * F.count(value)).alias(self.m2),
-            F.min(x == F.rint(x)).alias(self.whole),
-            F.sum(value.cast(total_type)).alias(self.plain),
-            F.min(value).alias(self.low),
-            F.max(value).alias(self.high),
-        ]
+    @property
+    def plain(self) -> str:
+        """The value in the type its sum is to have."""
+        return f"CAST({self.value} AS {'BIGINT' if self.integral else 'DOUBLE'})"
+
+    def n(self) -> str:
+        return f"sum({self.count})" if self.grouped else f"count({self.total})"
+
+    def n_of_row(self) -> str:
+        return self.count if self.grouped else "1"
+
+    def intact(self, frame: str) -> str:
+        """Test that no value is NaN. It also makes both ways read all columns, and so share one shuffle."""
+        return f"NOT isnan(coalesce(sum({self.m2 if self.grouped else self.total}) OVER {frame}, 0D))"
+
+    def around(self, centre: str) -> tuple[str, str]:
+        """The sum of the deviations from a centre, and of their squares."""
+        if not self.grouped:
+            return f"{self.total} - {centre}", f"({self.total} - {centre}) * ({self.total} - {centre})"
+        off = f"({self.total} / {self.count} - {centre})"
+        return f"{self.count} * {off}", f"{self.m2} + {self.count} * {off} * {off}"
+
+    def named(self, column: str, *ends: int) -> str:
+        return "_".join(["__frame", column, *map(str, ends)])
 
 
-def _sum_type(value_type: T.DataType) -> str:
-    return "bigint" if isinstance(value_type, T.IntegralType) else "double"
+def _bound(back: int) -> str:
+    """A frame bound so many units back; a lag below zero (a leak asked for) lies ahead."""
+    return f"{back} PRECEDING" if back >= 0 else f"{-back} FOLLOWING"
 
 
-def _from_sums(function: str, n: Column, total: Column, scaled_m2: Column, centre: Column, total_type: str) -> Column:
-    """An aggregate from the count, the centred sum and n times the squared deviations."""
+def _from_sums(function: str, n: str, total: str, squares: str, centre: str, plain: str = "") -> str:
+    """An aggregate from the count, the centred sum and the sum of squared deviations from the centre."""
+    deviations = f"greatest({n} * {squares} - {total} * {total}, 0D)"
     if function == "count":
-        return n.cast("bigint")
+        return f"CAST({n} AS BIGINT)"
     if function == "sum":
-        return F.when(n > 0, (total + n * centre).cast(total_type))
+        return f"CASE WHEN {n} > 0 THEN {plain} END"
     if function == "mean":
-        return F.when(n > 0, total / n + centre)
+        return f"CASE WHEN {n} > 0 THEN {total} / {n} + {centre} END"
     if function in ("std", "var"):
-        var = F.when(n > 1, F.greatest(scaled_m2, F.lit(0.0)) / (n * (n - 1)))
+        var = f"CASE WHEN {n} > 1 THEN {deviations} / ({n} * ({n} - 1)) END"
     else:
-        var = F.when(n > 0, F.greatest(scaled_m2, F.lit(0.0)) / (n * n))
-    return F.sqrt(var) if function in ("std", "stddev_pop") else var
+        var = f"CASE WHEN {n} > 0 THEN {deviations} / ({n} * {n}) END"
+    return f"sqrt({var})" if function in ("std", "stddev_pop") else var
