@@ -9,7 +9,7 @@ from tidecast.models import Passthrough
 from tidecast.operators import TargetEncoder, TimeBasedSplit
 from tidecast.plans.backtest import cross_val_forecast
 from tidecast.plans.features import SERIES_COLUMNS
-from tidecast.sources import read_csv_strings, table, write_csv
+from tidecast.sources import read_csv_strings, read_parquet, table, write_csv, write_parquet
 from tidecast.storage import scratch_path
 
 
@@ -134,6 +134,11 @@ def lagged(panel: DataFrame, windows=(7,), lags=(28,), functions=("mean",)) -> D
     )(panel)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows through a Parquet table, for steps that read them many times."""
+    return read_parquet(df.sparkSession, write_parquet(df, scratch_path(df.sparkSession, "features")))
+
+
 BACKTEST = TimeBasedSplit(date_frequency="days", date_col="date", forecast_horizon=range(1, 29), n_splits=2)
 
 
@@ -142,7 +147,7 @@ def fold_forecasts(spark: SparkSession, folder: str) -> DataFrame:
     return cross_val_forecast(
         model=Passthrough(),
         cv=BACKTEST,
-        df=lagged(flag_panel(spark, folder)),
+        df=stored(lagged(flag_panel(spark, folder))),
         date_col="date",
         feature_cols=["item_store_window_7_lag_28_mean"],
         target_col="sales",

@@ -524,7 +524,7 @@ def backtest(spark, folder, model, features, functions=("mean",), windows=(7,)):
     return cross_val_forecast(
         model=model,
         cv=panels.BACKTEST,
-        df=panels.lagged(panels.flag_panel(spark, folder), windows=windows, functions=functions),
+        df=panels.stored(panels.lagged(panels.flag_panel(spark, folder), windows=windows, functions=functions)),
         date_col="date",
         feature_cols=features,
         target_col="sales",
@@ -560,7 +560,8 @@ def blocks(windows=(7,), functions=("mean",), parts=()):
 
 @query
 def cv_direct_multi_horizon(spark, folder):
-    return multi_horizon_forecast(panels.lagged(panels.flag_panel(spark, folder), lags=(7, 14, 21, 28)), blocks())
+    rows = panels.stored(panels.lagged(panels.flag_panel(spark, folder), lags=(7, 14, 21, 28)))
+    return multi_horizon_forecast(rows, blocks())
 
 
 WIDE_FEATURES = [f"item_store_window_{w}_lag_28_{f}" for w in (7, 30) for f in ("mean", "std")]
@@ -586,7 +587,7 @@ def cv_forecast_tweedie_linear(spark, folder):
 @query
 def stacked_predictions(spark, folder):
     """Three forecasters side by side on the last fold's test rows."""
-    rows = panels.lagged(panels.flag_panel(spark, folder), windows=(7, 30), functions=("mean", "std"))
+    rows = panels.stored(panels.lagged(panels.flag_panel(spark, folder), windows=(7, 30), functions=("mean", "std")))
     fold = panels.BACKTEST.folds(rows)[0]
     stack = StackedForecaster([Passthrough(), LeastSquares(), tweedie_linear()])
     model = stack.fit(
@@ -600,7 +601,7 @@ def final_fit_predict(spark, folder):
     """Fit each block to all rows, then forecast the 28 days after the last one."""
     config = blocks()
     panel = panels.flag_panel(spark, folder)
-    featured = panels.lagged(future("day")(panel), lags=(7, 14, 21, 28))
+    featured = panels.stored(panels.lagged(future("day")(panel), lags=(7, 14, 21, 28)))
     last = panel.agg(F.max("date").cast("string")).first()[0]
     return score_future(featured, final_fit(featured, config), config, last)
 
@@ -657,7 +658,7 @@ def runlog_unscored(spark, folder):
 def logged_backtest(spark, folder):
     """The whole back-test: run log, stored models, scores."""
     log = RunLog(spark, scratch_path(spark, "runs"))
-    rows = panels.lagged(panels.flag_panel(spark, folder), lags=(7, 14, 21, 28))
+    rows = panels.stored(panels.lagged(panels.flag_panel(spark, folder), lags=(7, 14, 21, 28)))
     cross_validate(rows, blocks(), log, run_id="run")
     evaluate(log)
     return log.fold_metrics().select(

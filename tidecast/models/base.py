@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,43 +46,44 @@ class Preparation:
 
     stages: list[Any]
     temporary: list[str]
-    vector: str = TEMP + "features"
+    vector: str
+    lowest_label: float
+    mean_label: float
 
 
-def prepare(df: DataFrame, feature_cols: Sequence[str]) -> Preparation:
+def prepare(rows: DataFrame, feature_cols: Sequence[str]) -> Preparation:
     """Fill gaps by the training mean, mark them by a 0/1 column, and assemble a vector.
 
+    ``rows`` come from :func:`labelled`; one pass over them finds all it takes.
     Features without any value in the training rows cannot be filled and are
     left out. Only features with gaps get a mark.
     """
-    counts = df.agg(
+    label = F.col(TEMP + "label")
+    values = [number(f) for f in feature_cols]
+    facts = rows.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[_present(f).alias(f"f{i}") for i, f in enumerate(feature_cols)],
+        F.min(label).alias("lowest"),
+        F.avg(label).alias("mean"),
+        *[F.expr(f"count({v})").alias(f"n{i}") for i, v in enumerate(values)],
+        *[F.expr(f"avg({v})").alias(f"mean{i}") for i, v in enumerate(values)],
     ).first()
-    usable = [(i, f) for i, f in enumerate(feature_cols) if counts[f"f{i}"] > 0]
+    usable = [i for i in range(len(values)) if facts[f"n{i}"] > 0]
     if not usable:
-        raise ValueError(f"no feature of {list(feature_cols)} holds a value in the training rows")
-    gaps = [(i, f) for i, f in usable if counts[f"f{i}"] < counts["rows"]]
-    raw = [f"{TEMP}x{i}" for i, _ in usable]
-    marks = [f"{TEMP}gap{i}" for i, _ in gaps]
-    filled = [f"{TEMP}filled{i}" for i, _ in usable]
-    columns = [f"CAST({ticked(f)} AS DOUBLE) AS {name}" for (_, f), name in zip(usable, raw)]
-    columns += [
-        f"CAST({ticked(f)} IS NULL OR isnan(CAST({ticked(f)} AS DOUBLE)) AS DOUBLE) AS {name}"
-        for (_, f), name in zip(gaps, marks)
-    ]
+        raise ValueError(f"no feature of {list(feature_cols)} holds a value in the {facts['rows']} training rows")
+    gaps = [i for i in usable if facts[f"n{i}"] < facts["rows"]]
+    columns = {f"{TEMP}x{i}": f"coalesce({values[i]}, {facts[f'mean{i}']!r}D)" for i in usable}
+    columns |= {f"{TEMP}gap{i}": f"CAST({values[i]} IS NULL AS DOUBLE)" for i in gaps}
     vector = TEMP + "features"
     stages = [
-        SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__"),
-        Imputer(inputCols=raw, outputCols=filled),
-        VectorAssembler(inputCols=filled + marks, outputCol=vector),
+        SQLTransformer(statement=f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM __THIS__"),
+        VectorAssembler(inputCols=list(columns), outputCol=vector),
     ]
-    return Preparation(stages, [*raw, *marks, *filled, vector], vector)
+    return Preparation(stages, [*columns, vector], vector, facts["lowest"], facts["mean"])
 
 
-def _present(feature: str):
-    value = quoted(feature).cast("double")
-    return F.count(F.when(~F.isnan(value), value))
+def number(feature: str) -> str:
+    """A feature as a double, with NULL for NaN."""
+    return f"nanvl(CAST({ticked(feature)} AS DOUBLE), NULL)"
 
 
 def labelled(df: DataFrame, feature_cols: Sequence[str], target_col: str) -> DataFrame:
@@ -96,7 +97,3 @@ def labelled(df: DataFrame, feature_cols: Sequence[str], target_col: str) -> Dat
 def fitted(stages: Sequence[Any]) -> PipelineModel:
     """A pipeline model from stages that need no further fitting."""
     return PipelineModel(list(stages))
-
-
-def fit_stages(df: DataFrame, stages: Sequence[Any]) -> PipelineModel:
-    return Pipeline(stages=list(stages)).fit(df)

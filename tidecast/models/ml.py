@@ -9,8 +9,9 @@ from typing import Any
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
+from pyspark.storagelevel import StorageLevel
 
-from tidecast.models.base import TEMP, Forecaster, added, dropped, fit_stages, fitted, labelled, prepare
+from tidecast.models.base import TEMP, Forecaster, added, dropped, fitted, labelled, prepare
 from tidecast.storage import shared_folder
 
 
@@ -34,8 +35,14 @@ class RegressorForecaster(Forecaster):
                 self.regressor.predictionCol: raw,
             }
         )
-        model = fit_stages(rows, [*prep.stages, regressor])
-        return fitted([*model.stages, added(raw, output_col), dropped([*prep.temporary, raw])])
+        # The fit passes over its rows many times, and not every regressor keeps them itself.
+        vectors = fitted(prep.stages).transform(rows).select(prep.vector, TEMP + "label")
+        vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = regressor.fit(vectors)
+        finally:
+            vectors.unpersist()
+        return fitted([*prep.stages, model, added(raw, output_col), dropped([*prep.temporary, raw])])
 
 
 def boosted_trees(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from tidecast.models.base import TEMP, Forecaster, added, dropped, fit_stages, fitted, labelled, prepare
+from tidecast.models.base import TEMP, Forecaster, added, dropped, fitted, labelled, prepare
 from tidecast.storage import shared_folder
 
 
@@ -44,14 +44,11 @@ class TweedieBoostedTrees(Forecaster):
     ) -> PipelineModel:
         shared_folder(df.sparkSession)
         rows = labelled(df, feature_cols, target_col)
-        label, score, step, weight = (F.col(TEMP + c) for c in ("label", "score", "step", "weight"))
-        facts = rows.agg(F.min(label).alias("low"), F.avg(label).alias("mean")).first()
-        if facts["mean"] is None or facts["low"] < 0 or facts["mean"] <= 0:
-            raise ValueError(f"Tweedie loss needs a non-negative {target_col} that is not all zero")
+        label, score = F.col(TEMP + "label"), F.col(TEMP + "score")
         prep = prepare(rows, feature_cols)
-        shaping = fit_stages(rows, prep.stages)
-
-        start = math.log(facts["mean"])
+        if prep.lowest_label < 0 or prep.mean_label <= 0:
+            raise ValueError(f"Tweedie loss needs a non-negative {target_col} that is not all zero")
+        start = math.log(prep.mean_label)
         tree = DecisionTreeRegressor(
             featuresCol=prep.vector,
             labelCol=TEMP + "step",
@@ -61,8 +58,8 @@ class TweedieBoostedTrees(Forecaster):
             minInstancesPerNode=self.min_rows,
             seed=self.seed,
         )
-        scored = (
-            shaping.transform(rows)
+        stale, scored = None, (
+            fitted(prep.stages).transform(rows)
             .select(prep.vector, label, F.lit(start).alias(TEMP + "score"))
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
@@ -80,20 +77,23 @@ class TweedieBoostedTrees(Forecaster):
             moved = model.transform(scored).select(
                 prep.vector, label, (score + self.rate * F.col(f"{TEMP}tree{i}")).alias(TEMP + "score")
             )
-            # A checkpoint now and then keeps the plan, and what a lost executor costs, short.
+            # Filled by the next fit's first pass; the round before is done with by then.
+            if stale is not None:
+                stale.unpersist()
+            stale = scored
             if (i + 1) % self.checkpoint_every == 0:
+                # Keeps the plan, and what a lost executor costs, short.
                 moved = moved.checkpoint()
-            moved = moved.persist(StorageLevel.MEMORY_AND_DISK)
-            moved.count()
-            scored.unpersist()
-            scored = moved
-        scored.unpersist()
+            scored = moved.persist(StorageLevel.MEMORY_AND_DISK)
+        for kept in (stale, scored):
+            if kept is not None:
+                kept.unpersist()
 
         outputs = [f"{TEMP}tree{i}" for i in range(self.rounds)]
         total = " + ".join(outputs)
         return fitted(
             [
-                *shaping.stages,
+                *prep.stages,
                 *trees,
                 added(f"exp({start!r}D + {self.rate!r}D * ({total}))", output_col),
                 dropped([*prep.temporary, *outputs]),

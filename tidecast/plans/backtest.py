@@ -112,20 +112,22 @@ def multi_horizon_forecast(
 ) -> DataFrame:
     """Cross-validated forecasts of all horizon blocks."""
     model = forecaster(config.hyperparameters) if model is None else model
-    tasks = []
-    for block in config.models.values():
+    blocks = list(config.models.values())
+    for block in blocks:
         check_leak(block)
-        for fold in block_split(config, block).folds(df):
-            tasks.append(
-                lambda block=block, fold=fold: fold_forecast(
-                    model,
-                    fold,
-                    df,
-                    feature_cols=block.feature_cols,
-                    target_col=config.target_col,
-                    id_cols=[config.id_col],
-                )
-            )
+    splits = in_parallel(df, [lambda b=b: block_split(config, b).folds(df) for b in blocks], threads)
+    tasks = [
+        lambda block=block, fold=fold: fold_forecast(
+            model,
+            fold,
+            df,
+            feature_cols=block.feature_cols,
+            target_col=config.target_col,
+            id_cols=[config.id_col],
+        )
+        for block, folds in zip(blocks, splits)
+        for fold in folds
+    ]
     return stack(in_parallel(df, tasks, threads))
 
 
