@@ -145,7 +145,7 @@ class TargetEncoder(Operator):
         series = f"{by}ORDER BY {sums.period} RANGE BETWEEN"
         everything = f"({series} UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
         if self._monthly or not self.running_totals:
-            return self._slide(moments, series, everything, sums)
+            return self._slide(moments, series, sums)
         exact, = fresh(moments, "exact")
         # Products of two frame sums stay exact if the product over the whole series does.
         flagged = moments.selectExpr(
@@ -154,7 +154,7 @@ class TargetEncoder(Operator):
             f"{sums.n()} OVER {everything} * sum({sums.squares}) OVER {everything} < {EXACT!r}D, true) AS {exact}",
         )
         totals = self._total(flagged.where(F.col(exact)), series, sums)
-        slides = self._slide(flagged.where(~F.col(exact)), series, everything, sums)
+        slides = self._slide(flagged.where(~F.col(exact)), series, sums)
         return totals.unionByName(slides)
 
     def _total(self, moments: DataFrame, series: str, sums: "_Sums") -> DataFrame:
@@ -174,25 +174,19 @@ class TargetEncoder(Operator):
         def framed(w: int, lag: int) -> dict[str, str]:
             far, near = self._offsets(w, lag)
             found = {c: f"({sums.named(c, near)} - {sums.named(c, far + 1)})" for c in columns}
-            return {**found, "centre": "0D"}
+            n, total = found["n"], found["total"]
+            return {
+                "n": n,
+                "mean": f"{total} / {n}",
+                "deviations": f"greatest({n} * {found['squares']} - {total} * {total}, 0D) / {n}",
+                "plain": found.get("plain", ""),
+            }
 
-        return self._finish(moments, series, moments.columns, sums, running, framed)
+        return self._finish(moments, series, sums, running, framed)
 
-    def _slide(self, moments: DataFrame, series: str, everything: str, sums: "_Sums") -> DataFrame:
-        """Frame sums over sliding frames, of values centred on the mean of their series."""
-        centre, = fresh(moments, "centre")
-        usual = f"CASE WHEN abs({sums.total}) < double('Infinity') THEN"
-        mean = (
-            f"sum({usual} {sums.total} END) OVER {everything} / "
-            f"sum({usual} {sums.n_of_row()} END) OVER {everything}"
-        )
-        # A whole centre keeps whole numbers whole.
-        whole = f"min({sums.whole}) OVER {everything}"
-        centred = moments.selectExpr(
-            "*", f"coalesce(CASE WHEN {whole} THEN rint({mean}) ELSE {mean} END, 0D) AS {centre}"
-        )
-        shifted, spread = sums.around(centre)
-        columns = {"n": sums.n(), "total": f"sum({shifted})", "squares": f"sum({spread})"}
+    def _slide(self, moments: DataFrame, series: str, sums: "_Sums") -> DataFrame:
+        """Aggregates of sliding frames."""
+        columns = sums.sliding()
         if any(f == "sum" for *_, f, _ in self.specs()):
             columns["plain"] = f"sum({sums.plain})"
         sliding = [
@@ -203,14 +197,11 @@ class TargetEncoder(Operator):
 
         def framed(w: int, lag: int) -> dict[str, str]:
             far, near = self._offsets(w, lag)
-            found = {c: sums.named(c, far, near) for c in columns}
-            return {**found, "n": f"coalesce({found['n']}, 0)", "centre": centre}
+            return sums.slid({c: sums.named(c, far, near) for c in columns})
 
-        return self._finish(centred, series, moments.columns, sums, sliding, framed)
+        return self._finish(moments, series, sums, sliding, framed)
 
-    def _finish(
-        self, moments: DataFrame, series: str, keep: list[str], sums: "_Sums", frames: list[str], framed
-    ) -> DataFrame:
+    def _finish(self, moments: DataFrame, series: str, sums: "_Sums", frames: list[str], framed) -> DataFrame:
         """Outputs from the sums of each frame; minima and maxima have frames of their own."""
         extremes = {
             (f, *self._offsets(w, lag)): f"{f}({sums.low if f == 'min' else sums.high})"
@@ -229,7 +220,7 @@ class TargetEncoder(Operator):
                 value = _from_sums(f, **framed(w, lag))
             # A row without a date has no past.
             out.append(f"CASE WHEN {sums.period} IS NOT NULL THEN {value} END AS {ticked(name)}")
-        return moments.selectExpr("*", *frames).selectExpr(*map(ticked, keep), *out)
+        return moments.selectExpr("*", *frames).selectExpr(*map(ticked, moments.columns), *out)
 
 
 @dataclass(frozen=True)
@@ -291,22 +282,38 @@ class _Sums:
     def n(self) -> str:
         return f"sum({self.count})" if self.grouped else f"count({self.total})"
 
-    def n_of_row(self) -> str:
-        return self.count if self.grouped else "1"
-
     def intact(self, frame: str) -> str:
         """Test that no value is NaN. It also makes both ways read all columns, and so share one shuffle."""
         return f"NOT isnan(coalesce(sum({self.m2 if self.grouped else self.total}) OVER {frame}, 0D))"
 
-    def around(self, centre: str) -> tuple[str, str]:
-        """The sum of the deviations from a centre, and of their squares."""
+    def sliding(self) -> dict[str, str]:
+        """Aggregates of a frame. None of them takes the difference of large sums of squares."""
+        if not self.grouped:
+            return {"n": self.n(), "mean": f"avg({self.total})", "spread": f"var_pop({self.total})"}
+        mean = f"({self.total} / nullif({self.count}, 0))"
+        return {
+            "n": self.n(),
+            "total": f"sum({self.total})",
+            "m2": f"sum({self.m2})",
+            "periods": f"count({mean})",
+            "with_total": f"covar_pop({self.total}, {mean})",
+            "with_count": f"covar_pop({self.count}, {mean})",
+        }
+
+    def slid(self, frame: dict[str, str]) -> dict[str, str]:
+        """Count, mean and squared deviations of a frame from its :meth:`sliding` aggregates."""
+        n = f"coalesce({frame['n']}, 0)"
         if not self.grouped:
-            return f"{self.total} - {centre}", f"({self.total} - {centre}) * ({self.total} - {centre})"
-        off = f"({self.total} / {self.count} - {centre})"
-        return f"{self.count} * {off}", f"{self.m2} + {self.count} * {off} * {off}"
+            mean, deviations = frame["mean"], f"{frame['spread']} * {n}"
+        else:
+            # Within the periods, and between their means weighted by their counts.
+            mean = f"{frame['total']} / {n}"
+            between = f"{frame['with_total']} - {mean} * {frame['with_count']}"
+            deviations = f"greatest({frame['m2']} + {frame['periods']} * ({between}), 0D)"
+        return {"n": n, "mean": mean, "deviations": deviations, "plain": frame.get("plain", "")}
 
     def named(self, column: str, *ends: int) -> str:
-        return "_".join(["__frame", column, *map(str, ends)])
+        return "_".join(["__frame", column, *(str(e).replace("-", "minus") for e in ends)])
 
 
 def _bound(back: int) -> str:
@@ -314,17 +321,16 @@ def _bound(back: int) -> str:
     return f"{back} PRECEDING" if back >= 0 else f"{-back} FOLLOWING"
 
 
-def _from_sums(function: str, n: str, total: str, squares: str, centre: str, plain: str = "") -> str:
-    """An aggregate from the count, the centred sum and the sum of squared deviations from the centre."""
-    deviations = f"greatest({n} * {squares} - {total} * {total}, 0D)"
+def _from_sums(function: str, n: str, mean: str, deviations: str, plain: str) -> str:
+    """An aggregate from the count, the mean and the sum of squared deviations from it."""
     if function == "count":
         return f"CAST({n} AS BIGINT)"
     if function == "sum":
         return f"CASE WHEN {n} > 0 THEN {plain} END"
     if function == "mean":
-        return f"CASE WHEN {n} > 0 THEN {total} / {n} + {centre} END"
+        return f"CASE WHEN {n} > 0 THEN {mean} END"
     if function in ("std", "var"):
-        var = f"CASE WHEN {n} > 1 THEN {deviations} / ({n} * ({n} - 1)) END"
+        var = f"CASE WHEN {n} > 1 THEN {deviations} / ({n} - 1) END"
     else:
-        var = f"CASE WHEN {n} > 0 THEN {deviations} / ({n} * {n}) END"
+        var = f"CASE WHEN {n} > 0 THEN {deviations} / {n} END"
     return f"sqrt({var})" if function in ("std", "stddev_pop") else var
