@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -17,9 +17,13 @@ from tidecast.storage import shared_folder
 
 @dataclass(frozen=True)
 class RegressorForecaster(Forecaster):
-    """Any Spark ML regressor behind gap filling and a vector of the features."""
+    """Any Spark ML regressor behind gap filling and a vector of the features.
 
-    regressor: Any
+    ``make`` builds the regressor; it is called at each fit, so that none is
+    shared between fits that run side by side.
+    """
+
+    make: Callable[[], Any]
 
     def fit(
         self, df: DataFrame, *, feature_cols: Sequence[str], target_col: str, output_col: str = "forecast"
@@ -28,11 +32,12 @@ class RegressorForecaster(Forecaster):
         rows = labelled(df, feature_cols, target_col)
         prep = prepare(rows, feature_cols)
         raw = TEMP + "prediction"
-        regressor = self.regressor.copy(
+        regressor = self.make()
+        regressor = regressor.copy(
             {
-                self.regressor.featuresCol: prep.vector,
-                self.regressor.labelCol: TEMP + "label",
-                self.regressor.predictionCol: raw,
+                regressor.featuresCol: prep.vector,
+                regressor.labelCol: TEMP + "label",
+                regressor.predictionCol: raw,
             }
         )
         # The fit passes over its rows many times, and not every regressor keeps them itself.
@@ -50,7 +55,7 @@ def boosted_trees(
 ) -> RegressorForecaster:
     """Gradient-boosted trees with squared or absolute loss."""
     return RegressorForecaster(
-        GBTRegressor(
+        lambda: GBTRegressor(
             maxIter=rounds, stepSize=step, maxDepth=depth, lossType=loss, minInstancesPerNode=20, maxBins=64, seed=seed
         )
     )
@@ -59,7 +64,7 @@ def boosted_trees(
 def tweedie_linear(*, power: float = 1.5, regularisation: float = 1e-3, rounds: int = 25) -> RegressorForecaster:
     """A generalised linear model with Tweedie loss and log link; the target must not be negative."""
     return RegressorForecaster(
-        GeneralizedLinearRegression(
+        lambda: GeneralizedLinearRegression(
             family="tweedie", variancePower=power, linkPower=0.0, regParam=regularisation, maxIter=rounds
         )
     )

@@ -27,8 +27,8 @@ def read_csv_typed(
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """CSV with a header row and no index column. NULL and empty text stay apart."""
-    df.write.mode(mode).option("header", True).option("emptyValue", '""').csv(path)
+    """CSV with a header row and no index column. Empty text reads back as NULL."""
+    df.write.mode(mode).option("header", True).csv(path)
     return path
 
 
