@@ -86,7 +86,7 @@ def twelve_fits(spark: SparkSession, table: str) -> None:
     parts = ("week_of_year", "month", "day_of_week", "day_of_month", "year")
     config = blocks(windows=WINDOWS, functions=("mean", "std"), parts=parts)
     log = RunLog(spark, scratch_path(spark, "bench-runs"))
-    cross_validate(read_parquet(spark, table), config, log, model=TweedieBoostedTrees(rounds=20, rate=0.3))
+    cross_validate(read_parquet(spark, table), config, log, model=TweedieBoostedTrees(rounds=10, rate=0.3))
     print("tweedie rmse", evaluate(log).collect()[0]["value"], file=sys.stderr)
 
 

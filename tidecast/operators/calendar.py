@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.dateparts import DATE_PARTS
@@ -40,7 +40,8 @@ class CreateFutureSet(Operator):
     All columns but the keys and the date are NULL in the new rows. With
     ``per_group`` each series goes on from its own last date. ``keys``, a table
     that already holds each series once (such as the wide table before the
-    melt), saves the distinct over the long table.
+    melt), saves the distinct over the long table; ``last_date``, a scalar column,
+    saves the search for the last date.
     """
 
     date_col: str
@@ -49,29 +50,31 @@ class CreateFutureSet(Operator):
     group_cols: Sequence[str] | None = None
     per_group: bool = False
     keys: DataFrame | None = None
+    last_date: Column | None = None
 
     def __post_init__(self) -> None:
         Frequency.parse(self.date_frequency, PANEL_FREQUENCIES)
         if self.n_periods < 1:
             raise ValueError(f"n_periods must be positive, not {self.n_periods}")
-        if self.per_group and self.keys is not None:
-            raise ValueError("per_group finds the last dates in the table itself, so it takes no keys")
+        if self.per_group and (self.keys is not None or self.last_date is not None):
+            raise ValueError("per_group finds the last dates in the table itself, so it takes no keys and no last_date")
 
     def transform(self, df: DataFrame) -> DataFrame:
         unit = Frequency.parse(self.date_frequency, PANEL_FREQUENCIES)
         groups = list(self.group_cols or [])
         last, step, rows = fresh(df, "last", "step", "rows")
         newest = F.max(quoted(self.date_col)).alias(last)
+        start = self.last_date
         if not groups:
             series = df.agg(newest, F.count(F.lit(1)).alias(rows)).where(F.col(rows) > 0)
-            start = F.col(last)
+            start = F.col(last) if start is None else start
         elif self.per_group:
             series = df.groupBy(*groups).agg(newest)
             start = F.col(last)
         else:
             # The last date is one value, so it enters as a scalar subquery.
             series = self.keys.select(*groups) if self.keys is not None else df.select(*groups).distinct()
-            start = df.agg(newest).scalar()
+            start = df.agg(newest).scalar() if start is None else start
         steps = series.select("*", F.explode(F.sequence(F.lit(1), F.lit(self.n_periods))).alias(step))
 
         keep = {c.lower() for c in groups}

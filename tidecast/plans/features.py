@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidecast.operators import (
     Chain,
@@ -20,6 +21,7 @@ from tidecast.operators import (
     Operator,
     TargetEncoder,
 )
+from tidecast.operators.base import text_literal
 
 # Columns, windows, lags and date parts of the sales panel.
 CALENDAR_COLUMNS = ("d", "date", "Snap_CA", "Snap_TX", "Snap_WI")
@@ -48,8 +50,8 @@ class FeatureBuild(Operator):
     """Melt, cast, calendar join, future days, rolling features, date parts.
 
     Takes the wide table: one row per series, one column per day. ``cut`` writes
-    the joined panel to the checkpoint folder before the windows; the panel is
-    read twice after that point.
+    the joined panel to the checkpoint folder before the windows. The windows read
+    the panel once, so it is off unless asked for.
     """
 
     calendar: DataFrame
@@ -62,12 +64,16 @@ class FeatureBuild(Operator):
     functions: Sequence[str] = ("mean", "std")
     prefix: str = "item_store"
     one_row_per_period: bool = True
-    cut: bool = True
+    cut: bool = False
 
     def transform(self, df: DataFrame) -> DataFrame:
+        ids = {c.lower() for c in self.series_columns}
+        days = self.day_columns or [c for c in df.columns if c.lower() not in ids]
+        # Each series has a cell for each day column, so the calendar knows the last date.
+        melted_days = self.calendar.where(F.expr(f"d IN ({', '.join(map(text_literal, days))})"))
         steps: list[Operator] = [
             MeltDataFrame(
-                id_vars=self.series_columns, value_vars=self.day_columns, var_name="d", value_name="sales"
+                id_vars=self.series_columns, value_vars=days, var_name="d", value_name="sales"
             ),
             ColumnType(input_cols=["sales"], value="float"),
             JoinDataFrame(df=self.calendar, on="d", how="left", broadcast_rows=CALENDAR_ROWS),
@@ -78,6 +84,7 @@ class FeatureBuild(Operator):
                 n_periods=self.n_periods,
                 date_frequency="day",
                 keys=df,
+                last_date=melted_days.agg(F.max("date")).scalar(),
             ),
         ]
         if self.cut:

@@ -76,6 +76,8 @@ def evaluate(log: RunLog, *, date_col: str = "date", target_col: str = "sales")
     the run scores are taken from there, so a call that breaks off is made good
     by the next one.
     """
+    if log.unscored().isEmpty():
+        return log.metrics()
     waiting = log.forecasts().join(log.unscored().select("run_id"), "run_id", "left_semi")
     log.log_fold_metrics(summarize_cv(waiting, date_col=date_col, target_col=target_col, by=("run_id", "cv")))
     new = log.fold_metrics().join(log.metrics().select("run_id"), "run_id", "left_anti")

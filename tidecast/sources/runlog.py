@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -31,6 +32,8 @@ class RunLog:
     path: str
 
     def _of_run(self, table: str, run_id: str) -> str:
+        if not re.fullmatch(r"[\w.-]+", run_id):
+            raise ValueError(f"run id {run_id!r} is not made of letters, digits, dots, dashes and underscores")
         return f"{self.path.rstrip('/')}/{table}/run_id={run_id}"
 
     def _write(self, df: DataFrame, table: str, run_id: str) -> None:
