@@ -5,7 +5,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from check_queries import compare, tables
 from tidecast.catalog import panels
-from tidecast.catalog.queries import feature_table
+from tidecast.catalog.queries import features_of_wide
 from tidecast.plans.features import LAGS, WINDOWS
 
 SMALL = "/root/testdata/sf0.001"
@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, con, name):
 def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
     assert set(queries()) - set(oracle_sql()) == {
-        "cv_forecast_gbt", "cv_forecast_tweedie", "cv_forecast_tweedie_linear", "stacked_predictions"
+        "cv_forecast_gbt", "cv_forecast_tweedie", "cv_forecast_tweedie_linear"
     }
 
 
@@ -34,7 +34,7 @@ def test_entry(spark):
 
 
 def test_feature_table_form(spark):
-    table = feature_table(spark, SMALL)
+    table = features_of_wide(spark, SMALL)
     assert len(table.columns) == 58
     assert table.columns[:12] == ["d", "id", "item_id", "dept_id", "cat_id", "store_id", "state_id", "sales", "date", "Snap_CA", "Snap_TX", "Snap_WI"]
     names = [f"item_store_window_{w}_lag_{l}_{f}" for w in WINDOWS for l in LAGS for f in ("mean", "std")]

@@ -319,9 +319,9 @@ FROM d""",
         for c in ("bought", "failed")
     )
     + " FROM n",
-    "calendar_pipeline": with_(SPAN, C)
+    "calendar_table": with_(SPAN, C)
     + 'SELECT d, date, snap_CA AS "Snap_CA", snap_TX AS "Snap_TX", snap_WI AS "Snap_WI" FROM c',
-    "feature_pipeline": with_(
+    "feature_table": with_(
         D,
         SPAN,
         C,
@@ -380,6 +380,18 @@ FROM x, m, (SELECT regr_slope(sales, lag_{7 * i}) AS slope, regr_intercept(sales
 WHERE date > m + {7 * i - 7} AND date <= m + {7 * i}"""
         for i in (1, 2, 3, 4)
     ),
+    "stacked_predictions": with_(
+        D,
+        lagged(28),
+        """y AS (SELECT *, avg(sales) OVER (PARTITION BY item_id, store_id ORDER BY date_diff('day', DATE '1970-01-01', date)
+           RANGE BETWEEN 57 PRECEDING AND 28 PRECEDING) AS month_28 FROM x)""",
+        "e AS (SELECT MAX(date) - 28 AS te FROM d)",
+    )
+    + f"""SELECT id, {DATE}, sales, round(lag_28, 6) AS pred_1, round(s1 * lag_28 + i1, 6) AS pred_2,
+  round(s2 * month_28 + i2, 6) AS pred_3
+FROM y, e, (SELECT regr_slope(sales, lag_28) AS s1, regr_intercept(sales, lag_28) AS i1,
+                   regr_slope(sales, month_28) AS s2, regr_intercept(sales, month_28) AS i2 FROM y, e WHERE date <= te)
+WHERE date > te AND date <= te + 28""",
     "rmse_global": with_(*FORECASTS) + "SELECT round(sqrt(avg((sales - forecast) ** 2)), 6) AS rmse FROM fc",
     "fold_summary": with_(*FORECASTS, SUMMARY)
     + """SELECT cv, CAST(train_start AS VARCHAR) AS train_start, CAST(train_end AS VARCHAR) AS train_end,

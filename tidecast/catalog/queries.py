@@ -85,13 +85,13 @@ def shown(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*map(column, df.schema.fields))
 
 
-def query(fn: Query, name: str | None = None) -> Query:
-    """Register a query under its own name, or the one given."""
+def query(fn: Query) -> Query:
+    """Register a query under its own name."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return shown(fn(spark, folder))
 
-    QUERIES[name or fn.__name__] = run
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -446,21 +446,22 @@ def event_proximity_ties(spark, folder):
 # -- chains ---------------------------------------------------------------------
 
 
+@query
 def calendar_table(spark, folder):
+    """The calendar chain: columns picked, dates parsed, lineage cut."""
     return calendar_pipeline(panels.calendar(spark, folder))
 
 
-query(calendar_table, "calendar_pipeline")
-
-
-def feature_table(spark, folder):
+def features_of_wide(spark, folder):
     """The feature table, 58 columns wide, of the wide table of the flag panel."""
     wide = panels.wide(spark, folder, panels.flag_panel(spark, folder))
     days = [c for c in wide.columns if c.startswith("d_")]
     return feature_pipeline(wide, calendar_pipeline(panels.calendar(spark, folder)), day_columns=days)
 
 
-query(feature_table, "feature_pipeline")
+@query
+def feature_table(spark, folder):
+    return features_of_wide(spark, folder)
 
 
 @query
@@ -587,12 +588,11 @@ def cv_forecast_tweedie_linear(spark, folder):
 @query
 def stacked_predictions(spark, folder):
     """Three forecasters side by side on the last fold's test rows."""
-    rows = panels.stored(panels.lagged(panels.flag_panel(spark, folder), windows=(7, 30), functions=("mean", "std")))
+    rows = panels.stored(panels.lagged(panels.flag_panel(spark, folder), windows=(7, 30)))
     fold = panels.BACKTEST.folds(rows)[0]
-    stack = StackedForecaster([Passthrough(), LeastSquares(), tweedie_linear()])
-    model = stack.fit(
-        fold.train(rows), feature_sets=[WIDE_FEATURES[:1], WIDE_FEATURES[2:3], WIDE_FEATURES], target_col="sales"
-    )
+    week, month = (["item_store_window_7_lag_28_mean"], ["item_store_window_30_lag_28_mean"])
+    stack = StackedForecaster([Passthrough(), LeastSquares(), LeastSquares()])
+    model = stack.fit(fold.train(rows), feature_sets=[week, week, month], target_col="sales")
     return model.transform(fold.test(rows)).select("id", "date", "sales", "pred_1", "pred_2", "pred_3")
 
 
