@@ -172,3 +172,28 @@ def test_one_shuffle_for_a_panel(spark, path):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
     assert plan.count("+- Exchange hashpartitioning") == 1 and plan.count("ReusedExchange") == 1
     assert plan.count("FileScan") == 1
+
+
+def test_a_hot_day_of_a_hot_key_is_split(spark, path):
+    """Half of all rows on one key and day: the join back splits them over several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+    }
+    spark.sql(f"""SELECT CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('k', id % 97) END AS k,
+                         date_add(date'{START}', CASE WHEN id % 2 = 0 THEN 30 ELSE int(id % 61) END) AS date,
+                         double(id % 7) AS v, uuid() AS payload
+                  FROM range(40000)""").write.parquet(path + "/t")
+    df = spark.read.parquet(path + "/t")
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        got = encoder(rolling_windows=[7], lags=[1])(df)
+        assert len(got.collect()) == 40000
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
