@@ -113,6 +113,12 @@ def test_names_types_and_column_order(spark):
     assert [t for _, t in got.dtypes[3:7]] == ["double", "bigint", "bigint", "int"]
 
 
+def test_names_in_any_spelling(spark):
+    df = spark.createDataFrame([("a", day(0), 1), ("a", day(1), 1)], "K string, DATE date, V int")
+    got = encoder(rolling_windows=[1], lags=[1], functions=["sum"])(df)
+    assert got.columns == ["K", "DATE", "V", "p_window_1_lag_1_sum"] and [r[3] for r in rows(got)] == [None, 1]
+
+
 def test_long_integer_sums_are_exact(spark):
     data = [("a", day(0), 2**60 + 1), ("a", day(1), 1), ("a", day(2), 0)]
     got = encoder(rolling_windows=[2], lags=[1], functions=["sum"])(spark.createDataFrame(data, SCHEMA.format("bigint")))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Operator:
@@ -47,6 +48,11 @@ def quoted(name: str) -> Column:
     return F.col(ticked(name))
 
 
+def type_of(df: DataFrame, name: str) -> T.DataType:
+    """The type of a column, found as Spark finds it, in any spelling."""
+    return df.select(quoted(name)).schema[0].dataType
+
+
 def text_literal(value: str) -> str:
     """A string as an SQL literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.dateparts import DATE_PARTS
 from tidecast.functions.periods import PANEL_FREQUENCIES, Frequency, add_periods
-from tidecast.operators.base import Operator, fresh, paired, quoted
+from tidecast.operators.base import Operator, fresh, paired, quoted, type_of
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -111,7 +111,7 @@ class Densify(Operator):
         empty = df.select(*groups).distinct().select(
             *groups,
             F.explode(F.sequence(first, last)).alias(self.date_col),
-            F.lit(None).cast(df.schema[self.value_col].dataType).alias(self.value_col),
+            F.lit(None).cast(type_of(df, self.value_col)).alias(self.value_col),
         )
         rows = df.select(*groups, day.alias(self.date_col), self.value_col)
         # Empty cells and rows meet in one aggregation: max skips the NULL of the cell.

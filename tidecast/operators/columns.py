@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.operators.base import Operator, paired, quoted
+from tidecast.operators.base import Operator, paired, quoted, type_of
 from tidecast.storage import broadcast_within, shared_folder
 
 ALL = "All"
@@ -135,7 +135,7 @@ class DateCutoff(Operator):
     row_local = True
 
     def transform(self, df: DataFrame) -> DataFrame:
-        kind = df.schema[self.date_col].dataType.simpleString()
+        kind = type_of(df, self.date_col).simpleString()
         return df.where(quoted(self.date_col) < F.lit(self.before).cast("date" if kind == "string" else kind))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.functions.periods import PANEL_FREQUENCIES, Frequency
-from tidecast.operators.base import Operator, fresh, quoted, ticked
+from tidecast.operators.base import Operator, fresh, quoted, ticked, type_of
 
 # Aggregate names callers may use, and the name each one stands for.
 FUNCTIONS = {
@@ -104,7 +104,7 @@ class TargetEncoder(Operator):
         period, *names = fresh(df, "period", "n", "total", "squares", "m2", "whole", "value", "low", "high")
         rows = df.select("*", self._period(df).alias(period))
         native = any(f in ("min", "max", "sum") for *_, f, _ in self.specs())
-        integral = isinstance(df.schema[self.value_col].dataType, T.IntegralType)
+        integral = isinstance(type_of(df, self.value_col), T.IntegralType)
         sums = _Sums(ticked(period), *names, native=native, integral=integral)
         if self.one_row_per_period and parts:
             moments, sums = sums.of_rows(rows, self.value_col)
