@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidecast.llm.minhash import op8_minhash_near_dedup
+from tidecast.llm.quality import op4_quality_rules
 from tidecast.llm.secrets import op9_secret_scan
 from tidecast.llm.urls import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
