@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from tidecast.llm.decontaminate import op5_decontamination
 from tidecast.llm.minhash import op8_minhash_near_dedup
+from tidecast.llm.packing import op3_packing
 from tidecast.llm.quality import op4_quality_rules
 from tidecast.llm.secrets import op9_secret_scan
+from tidecast.llm.tokenfile import op2_token_file
 from tidecast.llm.urls import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op2_token_file": op2_token_file,
+    "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
