@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 from tidecast.llm.decontaminate import op5_decontamination
+from tidecast.llm.html import op7_html_extraction
 from tidecast.llm.minhash import op8_minhash_near_dedup
 from tidecast.llm.packing import op3_packing
 from tidecast.llm.quality import op4_quality_rules
 from tidecast.llm.secrets import op9_secret_scan
 from tidecast.llm.tokenfile import op2_token_file
 from tidecast.llm.urls import OP10_SQL, op10_url_filter
+from tidecast.llm.warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_token_file": op2_token_file,
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
+    "op7_html_extraction": op7_html_extraction,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
 
 SQL = {
+    "op1_warc": OP1_SQL,
     "op10_url_filter": OP10_SQL,
 }
