@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidecast.llm.classify import op6_quality_classifier
 from tidecast.llm.decontaminate import op5_decontamination
 from tidecast.llm.html import op7_html_extraction
 from tidecast.llm.minhash import op8_minhash_near_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_html_extraction": op7_html_extraction,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,

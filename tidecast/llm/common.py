@@ -11,6 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidecast.storage import scratch_path
 
@@ -83,6 +84,11 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return map_arrow(df, run, schema)
 
 
+def schema_of(df: DataFrame, **added: T.DataType) -> T.StructType:
+    """The schema of ``df`` and fields after it."""
+    return T.StructType([*df.schema, *(T.StructField(n, t) for n, t in added.items())])
+
+
 def own_name(stem: str) -> str:
     """A column name that no table has."""
     return f"_{stem}_{uuid.uuid4().hex[:8]}"

@@ -12,8 +12,9 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidecast.llm.common import map_batches, table
+from tidecast.llm.common import map_batches, schema_of, table
 
 #: Comments, declarations, tags with quoted values, text. What is not a tag is text.
 PIECE = re.compile(
@@ -237,7 +238,7 @@ def extract(df: DataFrame, weights: dict[str, float], *, html_col: str = "html",
         arrays = [*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
         return pa.RecordBatch.from_arrays(arrays, names=[*keep, "text", "n_chars"])
 
-    return map_batches(source, run, df.select(*keep).schema.add("text", "string").add("n_chars", "long"))
+    return map_batches(source, run, schema_of(df.select(*keep), text=T.StringType(), n_chars=T.LongType()))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

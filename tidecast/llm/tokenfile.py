@@ -13,8 +13,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidecast.llm.common import map_arrow, own_name, small, stored, table
+from tidecast.llm.common import map_arrow, own_name, schema_of, small, stored, table
 from tidecast.llm.files import new_file, open_file
 from tidecast.llm.tokenizing import encoder
 from tidecast.storage import scratch_path
@@ -168,7 +169,7 @@ def read_tokens(index: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*names, "ids"])
                     found, size, begin = [], 0, i + 1
 
-    return map_arrow(sorted_, run, index.schema.add("ids", "binary"))
+    return map_arrow(sorted_, run, schema_of(index, ids=T.BinaryType()))
 
 
 def read_checksums(index: DataFrame) -> DataFrame:
