@@ -18,6 +18,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 36 bands of 7 miss a pair of similarity 0.8 once in 4,000 times.
 BANDS, ROWS = 36, 7
+#: Bounds of the error of a similarity estimated from 252 places (standard deviation 0.025 at 0.8): for leaving a pair
+#: unverified, and for the reach of a metric between two estimates.
+MARGIN, ERROR = 0.15, 0.15
+#: Members of a bucket that one task takes.
+BUCKET_ROWS = 512
 #: Words that are worked on together.
 CHUNK = 300_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -109,11 +114,13 @@ def chunks(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
         yield held
 
 
-def bands_of(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> list[list[int]]:
+def signed(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> Iterator[tuple[list[int], bytes]]:
+    """Keys of the bands of each text, and its signature, a byte for each place; no bands for a text without words."""
     element, weight, doc = weighted_shingles(texts)
-    keys = band_keys(signatures(element, weight, doc, len(texts), bands * rows), bands, rows)
+    winners = signatures(element, weight, doc, len(texts), bands * rows)
     some = np.bincount(doc, minlength=len(texts)) > 0
-    return [k if s else [] for k, s in zip(keys.tolist(), some, strict=True)]
+    for keys, sig, any_ in zip(band_keys(winners, bands, rows).tolist(), mix(winners).astype(np.uint8), some, strict=True):
+        yield (keys if any_ else []), sig.tobytes()
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -167,31 +174,124 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(joined, run, "rid long, leader long, sim double")
 
 
-def links_of(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def estimate(sigs: np.ndarray, leader: np.ndarray) -> np.ndarray:
+    return (sigs == leader).mean(-1)
+
+
+def stars(rid: np.ndarray, sigs: np.ndarray, done: np.ndarray, least: float, reach: float) -> Iterator[tuple[int, int]]:
+    """Pairs (member, leader) of a bucket, by estimated similarity: every text that is not done leads, or has a leader.
+
+    A leader takes the texts of at least ``least``. What is left goes on under the next leader, together with texts
+    that are within ``reach`` of something left: only they can be similar to it.
+    """
+    pool, free = np.arange(len(rid)), ~done
+    while free.any():
+        first = int(np.argmax(free))
+        leader = pool[first]
+        pool, free = np.delete(pool, first), np.delete(free, first)
+        if not len(pool):
+            return
+        sims = estimate(sigs[pool], sigs[leader])
+        near = sims >= least
+        for i in pool[near]:
+            yield int(rid[i]), int(rid[leader])
+        left = free & ~near
+        if not left.any():
+            return
+        kept = left | (sims <= sims[left].max() + reach)
+        pool, free = pool[kept], left[kept]
+
+
+def small_buckets(rows: DataFrame, least: float, reach: float) -> DataFrame:
+    """``bucket, rid, leader`` for buckets of bounded size, each in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, ([], [], [])
+        out: list[tuple[int, int, int]] = []
+
+        def close() -> None:
+            if held[0]:
+                sigs = np.frombuffer(b"".join(held[1]), np.uint8).reshape(len(held[0]), -1)
+                out.extend((name, a, b) for a, b in stars(np.array(held[0]), sigs, np.array(held[2]), least, reach))
+                for x in held:
+                    x.clear()
+
+        def made() -> pa.RecordBatch:
+            arrays = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["bucket", "rid", "leader"])
+
+        for batch in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != name:
+                    close()
+                    name = bucket
+                for x, v in zip(held, row, strict=True):
+                    x.append(v)
+            if len(out) > 10_000:
+                yield made()
+        close()
+        yield made()
+
+    sorted_ = rows.select("bucket", "rid", "sig", "done").repartition("bucket").sortWithinPartitions("bucket", "rid")
+    return map_arrow(sorted_, run, "bucket long, rid long, leader long")
+
+
+def large_buckets(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """``bucket, rid, done, leader, est`` of all members but the leader, whose ``leader, leader_sig`` are in ``heads``."""
+    joined = rows.join(heads, "bucket").where("rid != leader").select("bucket", "rid", "done", "leader", "sig", "leader_sig")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(batch), -1) for i in (4, 5))
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(estimate(one, two))], names=["bucket", "rid", "done", "leader", "est"])
+
+    return map_batches(joined, run, "bucket long, rid long, done boolean, leader long, est double")
+
+
+def links_of(shared: DataFrame, sigs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links ``a, b`` that join all similar texts of each bucket of ``shared`` (``bucket, rid``).
 
-    In every round each bucket's least member is held against all others, which is one pair a member. One minus
-    the probability Jaccard is a metric, so a text that is not similar to the leader can only be similar to texts
-    that are far enough from it: these, and all texts not similar, meet again under the next leader, until nothing
-    is open. No pairs are left out and no bucket is spread into all its pairs.
+    A bucket's texts are held against leaders, by the signatures first: a text that is estimated far below the
+    similarity to each leader before becomes a leader itself. A bucket within a bound is dealt with in one task; of
+    a larger one the leader's signature is joined with all members. Estimated pairs are then verified exactly, each
+    once. One minus the probability Jaccard is a metric, so a text that turns out not to be similar to its leader can
+    only be similar to texts that are far enough from it: these meet again under another leader, until nothing is
+    open. No similar pair of a bucket stays apart, and no bucket is spread into all its pairs.
     """
-    spark = shared.sparkSession
-    known = spark.createDataFrame([], "rid long, leader long, sim double")
+    known = shared.sparkSession.createDataFrame([], "rid long, leader long, sim double")
+    least, reach, schema = similarity - MARGIN, 1 - similarity + ERROR, "bucket long, rid long, leader long"
+    rows = shared.withColumn("done", F.lit(False))
     while True:
-        leaders = stored(
-            shared.groupBy("bucket").agg(F.min("rid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader"),
-            "leaders",
+        rows = stored(rows.join(sigs, "rid").select("bucket", "rid", "done", "sig"), "rows")
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~F.col("done"), F.struct("rid", "sig"))).alias("head"))
+        large = stored(
+            sizes.where((F.col("n") > BUCKET_ROWS) & F.col("head").isNotNull())
+            .select("bucket", F.col("head.rid").alias("leader"), F.col("head.sig").alias("leader_sig")),
+            "large",
         )
-        if leaders.isEmpty():
-            return known.where(F.col("sim") >= similarity).select(F.col("rid").alias("a"), F.col("leader").alias("b"))
-        members = stored(shared.join(leaders, "bucket").where("rid != leader"), "members")
-        pairs = members.select("rid", "leader").distinct().join(known, ["rid", "leader"], "left_anti")
-        known = stored(known.unionByName(similarities(pairs, texts)), "similar")
-        judged = stored(members.join(known, ["rid", "leader"]), "judged")
-        open_ = judged.where(F.col("sim") < similarity).groupBy("bucket").agg(F.max("sim").alias("top"))
-        shared = judged.join(open_, "bucket").where(
+        if large.isEmpty():
+            found, rest = small_buckets(rows, least, reach), None
+        else:
+            judged = stored(large_buckets(rows, large), "judged")
+            left = ~F.col("done") & (F.col("est") < least)
+            top = judged.groupBy("bucket").agg(F.max(F.when(left, F.col("est"))).alias("top")).where("top is not null")
+            rest = judged.join(top, "bucket").where(left | (F.col("est") <= F.col("top") + reach)).select("bucket", "rid", (~left).alias("done"))
+            found = judged.where(F.col("est") >= least).select("bucket", "rid", "leader").unionByName(
+                small_buckets(rows.join(large.select("bucket"), "bucket", "left_anti"), least, reach)
+            )
+        found = stored(found.select(*schema.replace(" long", "").split(", ")), "found")
+        if not found.isEmpty():
+            pairs = found.select("rid", "leader").distinct().join(known, ["rid", "leader"], "left_anti")
+            known = stored(known.unionByName(similarities(pairs, texts)), "similar")
+        judged_pairs = found.join(known, ["rid", "leader"])
+        open_ = judged_pairs.where(F.col("sim") < similarity).groupBy("bucket", "leader").agg(F.max("sim").alias("top"))
+        again = judged_pairs.join(open_, ["bucket", "leader"]).where(
             (F.col("sim") < similarity) | (F.col("sim") <= F.col("top") + (1 - similarity) + 1e-9)
-        ).select("bucket", "rid")
+        ).select(F.xxhash64("bucket", "leader").alias("bucket"), "rid", (F.col("sim") >= similarity).alias("done"))
+        again = stored(again if rest is None else again.unionByName(rest), "again")
+        if again.isEmpty():
+            return known.where(F.col("sim") >= similarity).select(F.col("rid").alias("a"), F.col("leader").alias("b"))
+        rows = again
 
 
 def near_duplicates(
@@ -219,26 +319,31 @@ def near_duplicates(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = (t.as_py() for t in batch.column(4))
-        made = [k for part in chunks(texts) for k in bands_of(part, bands, rows)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.list_(pa.int64()))], names=["id", "rid", "k1", "k2", "bands"])
+        made = [k for part in chunks(texts) for k in signed(part, bands, rows)]
+        keys, sigs = pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], keys, sigs], names=["id", "rid", "k1", "k2", "bands", "sig"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    signed = map_batches(source, run, f"id {kind}, rid long, k1 long, k2 int, bands array<bigint>")
+    marked = map_batches(source, run, f"id {kind}, rid long, k1 long, k2 int, bands array<bigint>, sig binary")
     if row_col is None:
-        signed = signed.withColumn("rid", F.monotonically_increasing_id())
-    signed = stored(signed, "signatures")
+        marked = marked.withColumn("rid", F.monotonically_increasing_id())
+    marked = stored(marked, "signatures")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("rid").alias("rid"))
     distinct = stored(
-        signed.groupBy("k1", "k2").agg(F.min(F.struct(order.alias("first"), F.col("bands").alias("bands"))).alias("x"))
-        .select("k1", "k2", F.col("x.first.rid").alias("rid"), F.col("x.first").alias("first"), "x.bands"),
+        marked.groupBy("k1", "k2").agg(F.min(F.struct(order.alias("first"), F.col("bands"), F.col("sig"))).alias("x"))
+        .select("k1", "k2", F.col("x.first.rid").alias("rid"), F.col("x.first").alias("first"), "x.bands", "x.sig"),
         "distinct",
     )
     banded = distinct.select("rid", F.explode("bands").alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    # buckets with the same members count once
+    members = banded.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rid", F.lit(1)).cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("rid")).alias("xor")
+    ).where("n > 1")
+    full = members.groupBy("n", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket")
     shared = stored(banded.join(stored(full, "buckets"), "bucket"), "shared")
-    wanted = stored(distinct.select("rid", "k1", "k2").join(shared.select("rid").distinct(), "rid"), "wanted")
-    texts = stored(source.drop("rid").join(small(wanted), ["k1", "k2"]).groupBy("rid").agg(F.first("text").alias("text")), "texts")
-    labels = components(links_of(shared, texts, similarity))
+    wanted = stored(distinct.join(shared.select("rid").distinct(), "rid").select("rid", "k1", "k2", "sig"), "wanted")
+    texts = stored(source.drop("rid").join(small(wanted.drop("sig")), ["k1", "k2"]).groupBy("rid").agg(F.first("text").alias("text")), "texts")
+    labels = components(links_of(shared, wanted.select("rid", "sig"), texts, similarity))
     firsts = distinct.select(F.col("rid").alias("node"), "first")
     roots = stored(
         labels.join(firsts, "node").groupBy("label").agg(F.min("first").alias("root")), "roots"
@@ -247,7 +352,7 @@ def near_duplicates(
     classes = stored(
         distinct.join(joined, "rid", "left").select("k1", "k2", F.coalesce("root", "first").alias("root")), "classes"
     )
-    return signed.join(classes, ["k1", "k2"], "left").select(
+    return marked.join(classes, ["k1", "k2"], "left").select(
         "rid", F.col("id").alias(id_col), F.col("root.id").alias("class_id"), (F.col("rid") == F.col("root.rid")).alias("first")
     )
 
