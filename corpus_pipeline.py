@@ -7,9 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidecast.llm.common import stored, table
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
-
+from tidecast.llm.decontaminate import decontamination_stage
+from tidecast.llm.minhash import dedup_stage
+from tidecast.llm.packing import packing_stage
+from tidecast.llm.quality import quality_stage
+from tidecast.llm.secrets import secret_stage
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_stage),
+    ("minhash_near_dedup", dedup_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("secret_scan", secret_stage),
+    ("packing", packing_stage),
+]
+
+#: Near duplicates and packing have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

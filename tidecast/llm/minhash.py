@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import map_arrow, map_batches, small, stored, table, text_key
+from tidecast.llm.common import map_arrow, map_batches, own_name, small, stored, table, text_key
 from tidecast.llm.graphs import components
 
 SHINGLE = 5
@@ -363,6 +363,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: that with the least ``doc_id``."""
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    firsts = near_duplicates(numbered, row_col="_row").where("first").select(F.col("rid").alias("_row"))
-    return numbered.join(firsts, "_row", "left_semi").select(docs.columns)
+    row = own_name("row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    others = stored(near_duplicates(numbered, row_col=row).where("not first").select(F.col("rid").alias(row)), "others")
+    return numbered.join(small(others), row, "left_anti").select(docs.columns)

@@ -236,7 +236,7 @@ def scan(df: DataFrame, rules: Sequence[Rule] = RULES, *, text_col: str = "text"
     itself. Rules that need no trigram are held against every text. Equal texts are searched once and share spans.
 
     A null text has no spans (an empty list), as has an empty one. All other columns of ``df`` stay, except one named
-    ``spans``, which is replaced.
+    ``spans``, which is replaced. Repeated rows stay rows.
     """
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     asked = {k: q for k, q in queries.items() if q is not True}
@@ -277,6 +277,29 @@ def spelled(spans: Column, rules: Sequence[Rule] = RULES) -> Column:
     )
 
 
+def redacted(text: Column, spans: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """``text`` with ``[kind]`` in place of each span; of spans that overlap, the first names the kind."""
+    names = F.array(*(F.lit(r.kind) for r in rules))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(made: Column, s: Column) -> Column:
+        between = F.substring(text, made["at"] + 1, s["start"] - made["at"])
+        longer = F.concat(made["out"], between, F.lit("["), F.get(names, s["place"]), F.lit("]"))
+        return F.struct(
+            F.greatest(made["at"], s["stop"]).alias("at"), F.when(s["start"] >= made["at"], longer).otherwise(made["out"]).alias("out")
+        )
+
+    whole = F.aggregate(spans, start, step, lambda made: F.concat(made["out"], F.substring(text, made["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by its kind; ``n_chars`` is that of the new text."""
+    clean = redacted(F.col("text"), F.col("spans"))
+    out = scan(docs).withColumn("text", clean).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     base = F.filter("spans", lambda s: s["place"] < len(BASE))
