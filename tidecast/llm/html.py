@@ -18,7 +18,7 @@ from tidecast.llm.common import map_batches, schema_of, table
 
 #: Comments, declarations, tags with quoted values, text. What is not a tag is text.
 PIECE = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.DOTALL
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^<>]*\Z|[^<]+|<""", re.DOTALL
 )
 MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
@@ -88,7 +88,7 @@ def scan(html: str) -> Iterator[Text | str]:
         close, name, marks = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if name is None:
             piece = m[0]
-            if skip or piece.startswith(("<!", "<?")):
+            if skip or piece.startswith(("<!", "<?")) or len(piece) > 1 and piece[0] == "<":
                 continue
             _, role, article = stack[-1] if stack else ("", "plain", 0)
             yield Text(unescape(piece), role, block, article)
