@@ -18,11 +18,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 36 bands of 7 miss a pair of similarity 0.8 once in 4,000 times.
 BANDS, ROWS = 36, 7
-#: Bounds of the error of a similarity estimated from 252 places (standard deviation 0.025 at 0.8): for leaving a pair
-#: unverified, and for the reach of a metric between two estimates.
-MARGIN, ERROR = 0.15, 0.15
-#: Members of a bucket that one task takes.
-BUCKET_ROWS = 512
+#: Six standard deviations of a similarity estimated from 252 places: pairs below are not worked out exactly.
+MARGIN = 0.15
+#: Members of a bucket that one task takes, and those that all parts of a larger one share.
+BUCKET_ROWS, SHARED_ROWS = 512, 8
 #: Words that are worked on together.
 CHUNK = 300_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -156,76 +155,49 @@ class Shingles:
         return self.held[name]
 
 
-def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``rid, leader, sim``: the exact probability Jaccard of each pair's texts."""
-    one = texts.select("rid", "text")
-    two = texts.select(F.col("rid").alias("leader"), F.col("text").alias("leader_text"))
-    joined = pairs.join(one, "rid").join(two, "leader").select("rid", "leader", "text", "leader_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Shingles()
-        for batch in batches:
-            sims = [
-                probability_jaccard(weighted_shingles([batch.column(2)[i].as_py()])[:2], held.of(batch.column(1)[i].as_py(), batch.column(3)[i].as_py()))
-                for i in range(len(batch))
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["rid", "leader", "sim"])
-
-    return map_arrow(joined, run, "rid long, leader long, sim double")
-
-
-def estimate(sigs: np.ndarray, leader: np.ndarray) -> np.ndarray:
-    return (sigs == leader).mean(-1)
+def group_links(rid: list[int], label: list[int], probe: list[bool], sigs: np.ndarray, texts: list[str], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links that join all similar texts of a group which has a probe on one side at least.
 
+    Texts of one label are joined already. Each probe is held against all texts that it is not joined with yet: by
+    the signatures first, then exactly.
+    """
+    held, comp = Shingles(4096), np.unique(np.array(label), return_inverse=True)[1]
+    for i in np.flatnonzero(probe):
+        apart = np.flatnonzero(comp != comp[i])
+        if not len(apart):
+            continue
+        likely = apart[(sigs[apart] == sigs[i]).mean(1) >= similarity - MARGIN]
+        for j in likely:
+            if comp[i] != comp[j] and probability_jaccard(held.of(i, texts[i]), held.of(j, texts[j])) >= similarity:
+                comp[comp == comp[j]] = comp[i]
+                yield rid[i], rid[j]
 
-def stars(rid: np.ndarray, sigs: np.ndarray, done: np.ndarray, least: float, reach: float) -> Iterator[tuple[int, int]]:
-    """Pairs (member, leader) of a bucket, by estimated similarity: every text that is not done leads, or has a leader.
 
-    A leader takes the texts of at least ``least``. What is left goes on under the next leader, together with texts
-    that are within ``reach`` of something left: only they can be similar to it.
-    """
-    pool, free = np.arange(len(rid)), ~done
-    while free.any():
-        first = int(np.argmax(free))
-        leader = pool[first]
-        pool, free = np.delete(pool, first), np.delete(free, first)
-        if not len(pool):
-            return
-        sims = estimate(sigs[pool], sigs[leader])
-        near = sims >= least
-        for i in pool[near]:
-            yield int(rid[i]), int(rid[leader])
-        left = free & ~near
-        if not left.any():
-            return
-        kept = left | (sims <= sims[left].max() + reach)
-        pool, free = pool[kept], left[kept]
-
-
-def small_buckets(rows: DataFrame, least: float, reach: float) -> DataFrame:
-    """``bucket, rid, leader`` for buckets of bounded size, each in one task."""
+def links_in(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` within each ``bucket, part`` of ``rows`` (and ``rid, label, probe``), each in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, ([], [], [])
-        out: list[tuple[int, int, int]] = []
+        name, held, out = None, [[] for _ in range(5)], []
 
         def close() -> None:
-            if held[0]:
-                sigs = np.frombuffer(b"".join(held[1]), np.uint8).reshape(len(held[0]), -1)
-                out.extend((name, a, b) for a, b in stars(np.array(held[0]), sigs, np.array(held[2]), least, reach))
-                for x in held:
-                    x.clear()
+            if len(held[0]) > 1:
+                rid, label, probe, sig, text = held
+                sigs = np.frombuffer(b"".join(sig), np.uint8).reshape(len(rid), -1)
+                out.extend(group_links(rid, label, probe, sigs, text, similarity))
+            for x in held:
+                x.clear()
 
         def made() -> pa.RecordBatch:
-            arrays = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))]
+            arrays = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))]
             out.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["bucket", "rid", "leader"])
+            return pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
 
         for batch in batches:
-            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != name:
+            for i in range(len(batch)):
+                bucket, part, *row = (c[i].as_py() for c in batch.columns)
+                if (bucket, part) != name:
                     close()
-                    name = bucket
+                    name = bucket, part
                 for x, v in zip(held, row, strict=True):
                     x.append(v)
             if len(out) > 10_000:
@@ -233,65 +205,55 @@ def small_buckets(rows: DataFrame, least: float, reach: float) -> DataFrame:
         close()
         yield made()
 
-    sorted_ = rows.select("bucket", "rid", "sig", "done").repartition("bucket").sortWithinPartitions("bucket", "rid")
-    return map_arrow(sorted_, run, "bucket long, rid long, leader long")
-
+    whole = rows.join(texts, "rid").select("bucket", "part", "rid", "label", "probe", "sig", "text")
+    return map_arrow(whole.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "rid"), run, "a long, b long")
 
-def large_buckets(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """``bucket, rid, done, leader, est`` of all members but the leader, whose ``leader, leader_sig`` are in ``heads``."""
-    joined = rows.join(heads, "bucket").where("rid != leader").select("bucket", "rid", "done", "leader", "sig", "leader_sig")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(len(batch), -1) for i in (4, 5))
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(estimate(one, two))], names=["bucket", "rid", "done", "leader", "est"])
 
-    return map_batches(joined, run, "bucket long, rid long, done boolean, leader long, est double")
+def similar_classes(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``node, label`` of all texts that are similar to another in some bucket of ``shared`` (``bucket, rid``).
 
-
-def links_of(shared: DataFrame, sigs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links ``a, b`` that join all similar texts of each bucket of ``shared`` (``bucket, rid``).
-
-    A bucket's texts are held against leaders, by the signatures first: a text that is estimated far below the
-    similarity to each leader before becomes a leader itself. A bucket within a bound is dealt with in one task; of
-    a larger one the leader's signature is joined with all members. Estimated pairs are then verified exactly, each
-    once. One minus the probability Jaccard is a metric, so a text that turns out not to be similar to its leader can
-    only be similar to texts that are far enough from it: these meet again under another leader, until nothing is
-    open. No similar pair of a bucket stays apart, and no bucket is spread into all its pairs.
+    A bucket goes to one task, in which texts are held against each other until they are joined. A bucket of more
+    than ``BUCKET_ROWS`` is dealt into parts of about that size, each with a few texts that all its parts share.
+    That joins nearly all of a large group of copies. Texts of such a bucket that are then not in its largest
+    class are held against all its parts, a part of them at a time. So each similar pair of a bucket is joined, and
+    no bucket is spread into all its pairs.
     """
-    known = shared.sparkSession.createDataFrame([], "rid long, leader long, sim double")
-    least, reach, schema = similarity - MARGIN, 1 - similarity + ERROR, "bucket long, rid long, leader long"
-    rows = shared.withColumn("done", F.lit(False))
-    while True:
-        rows = stored(rows.join(sigs, "rid").select("bucket", "rid", "done", "sig"), "rows")
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~F.col("done"), F.struct("rid", "sig"))).alias("head"))
-        large = stored(
-            sizes.where((F.col("n") > BUCKET_ROWS) & F.col("head").isNotNull())
-            .select("bucket", F.col("head.rid").alias("leader"), F.col("head.sig").alias("leader_sig")),
-            "large",
-        )
-        if large.isEmpty():
-            found, rest = small_buckets(rows, least, reach), None
-        else:
-            judged = stored(large_buckets(rows, large), "judged")
-            left = ~F.col("done") & (F.col("est") < least)
-            top = judged.groupBy("bucket").agg(F.max(F.when(left, F.col("est"))).alias("top")).where("top is not null")
-            rest = judged.join(top, "bucket").where(left | (F.col("est") <= F.col("top") + reach)).select("bucket", "rid", (~left).alias("done"))
-            found = judged.where(F.col("est") >= least).select("bucket", "rid", "leader").unionByName(
-                small_buckets(rows.join(large.select("bucket"), "bucket", "left_anti"), least, reach)
-            )
-        found = stored(found.select(*schema.replace(" long", "").split(", ")), "found")
-        if not found.isEmpty():
-            pairs = found.select("rid", "leader").distinct().join(known, ["rid", "leader"], "left_anti")
-            known = stored(known.unionByName(similarities(pairs, texts)), "similar")
-        judged_pairs = found.join(known, ["rid", "leader"])
-        open_ = judged_pairs.where(F.col("sim") < similarity).groupBy("bucket", "leader").agg(F.max("sim").alias("top"))
-        again = judged_pairs.join(open_, ["bucket", "leader"]).where(
-            (F.col("sim") < similarity) | (F.col("sim") <= F.col("top") + (1 - similarity) + 1e-9)
-        ).select(F.xxhash64("bucket", "leader").alias("bucket"), "rid", (F.col("sim") >= similarity).alias("done"))
-        again = stored(again if rest is None else again.unionByName(rest), "again")
-        if again.isEmpty():
-            return known.where(F.col("sim") >= similarity).select(F.col("rid").alias("a"), F.col("leader").alias("b"))
-        rows = again
+    sample = [F.min_by("rid", F.xxhash64("rid", F.lit(i))) for i in range(SHARED_ROWS)]
+    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*sample)).alias("leaders"))
+    sizes = stored(sizes.where(F.col("n") > BUCKET_ROWS).withColumn("parts", F.ceil(F.col("n") / BUCKET_ROWS).cast("int")), "sizes")
+    large = not sizes.isEmpty()
+    sizes = small(sizes, 50_000)
+    parted = shared.join(sizes, "bucket", "left") if large else shared.withColumn("parts", F.lit(None).cast("int"))
+    dealt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rid", "bucket"), F.col("parts"))).cast("int")
+    rows = parted.select("bucket", dealt.alias("part"), "rid")
+    if large:
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        lead = sizes.select("bucket", every.alias("part"), "leaders").select("bucket", "part", F.explode("leaders").alias("rid"))
+        rows = rows.unionByName(lead).distinct()
+    links = stored(links_in(rows.select("*", F.col("rid").alias("label"), F.lit(True).alias("probe")), texts, similarity), "links")
+    labels = components(links)
+    if not large:
+        return labels
+    members = shared.join(sizes, "bucket").join(labels, F.col("rid") == F.col("node"), "left")
+    members = stored(members.select("bucket", "parts", "rid", F.coalesce("label", "rid").alias("label")), "members")
+    mains = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")
+    )
+    mains = stored(mains.where("n > most").withColumn("shares", F.ceil((F.col("n") - F.col("most")) / BUCKET_ROWS).cast("int")), "mains")
+    if mains.isEmpty():
+        return labels
+    open_ = members.join(small(mains, 50_000), "bucket")
+    place = F.pmod(F.xxhash64("rid", "bucket"), F.col("parts")).cast("int")
+    share = F.pmod(F.xxhash64("bucket", "rid"), F.col("shares")).cast("int")
+    against = open_.select("bucket", "rid", "label", place.alias("p"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("s"), "shares")
+    left = open_.where("label != main")
+    probes = left.select("bucket", "rid", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), share.alias("s"), "shares")
+    both = against.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True)))
+    again = both.groupBy("bucket", (F.col("p").cast("long") * F.col("shares") + F.col("s")).alias("part"), "rid", "label").agg(F.max("probe").alias("probe"))
+    more = stored(links_in(again, texts, similarity), "links")
+    if more.isEmpty():
+        return labels
+    return components(links.unionByName(more))
 
 
 def near_duplicates(
@@ -342,8 +304,9 @@ def near_duplicates(
     full = members.groupBy("n", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket")
     shared = stored(banded.join(stored(full, "buckets"), "bucket"), "shared")
     wanted = stored(distinct.join(shared.select("rid").distinct(), "rid").select("rid", "k1", "k2", "sig"), "wanted")
-    texts = stored(source.drop("rid").join(small(wanted.drop("sig")), ["k1", "k2"]).groupBy("rid").agg(F.first("text").alias("text")), "texts")
-    labels = components(links_of(shared, wanted.select("rid", "sig"), texts, similarity))
+    texts = source.drop("rid").join(small(wanted.drop("sig")), ["k1", "k2"]).groupBy("rid").agg(F.first("text").alias("text"))
+    texts = stored(texts.join(wanted.select("rid", "sig"), "rid"), "texts")
+    labels = similar_classes(shared, texts, similarity)
     firsts = distinct.select(F.col("rid").alias("node"), "first")
     roots = stored(
         labels.join(firsts, "node").groupBy("label").agg(F.min("first").alias("root")), "roots"
