@@ -61,7 +61,7 @@ def run(model, panel, features=FEATURES):
 
 
 def test_passthrough_and_result_columns(panel):
-    got = run(Passthrough(), panel)
+    got = run(Passthrough(), panel, FEATURES[:1])
     assert got.columns == ["id", "date", "sales", "forecast", "cv", "train_start", "train_end"]
     assert got.count() == 2 * 2 * 28
     assert got.where("forecast <> (sales - 1) / 2").count() == 0
@@ -72,7 +72,16 @@ def test_passthrough_and_result_columns(panel):
 
 
 def test_least_squares_finds_the_line(panel):
-    assert all(abs(r["sales"] - r["forecast"]) < 1e-9 for r in run(LeastSquares(), panel).collect())
+    assert all(abs(r["sales"] - r["forecast"]) < 1e-9 for r in run(LeastSquares(), panel, FEATURES[:1]).collect())
+    assert all(abs(r["sales"] - r["forecast"]) < 1e-5 for r in run(LeastSquares(), panel).collect())
+
+
+def test_least_squares_over_two_features(spark):
+    df = spark.range(1, 40).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id * id AS DOUBLE) AS b", "CAST(3 * id * id - id + 2 AS DOUBLE) AS y")
+    got = LeastSquares().fit(df, feature_cols=["a", "b"], target_col="y").transform(df)
+    assert all(abs(r["y"] - r["forecast"]) < 1e-5 for r in got.collect())
+    with pytest.raises(ValueError, match="one feature"):
+        Passthrough().fit(df, feature_cols=["a", "b"], target_col="y")
 
 
 @pytest.mark.parametrize("model,limit", [
@@ -191,3 +200,59 @@ def test_rmse_by_column(spark):
 def test_sums_by_date_keep_null_groups(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("b", 1, None), ("a", 2, None), (None, None, 7.0)], "id string, date int, v double")
     assert rows(series_by_date(df)) == [(1, 1.0), (2, None)]
+
+
+def blocks_of(unit, lag, horizon, lag_unit=None):
+    return BacktestConfig.from_dict(
+        {
+            "data": {"id_col": "id", "target_col": "sales", "date_col": "date", "date_frequency": unit, "lag_frequency": lag_unit},
+            "hyperparameters": {"objective": "least_squares"},
+            "cv": {"splits": 1, "test_size": 4},
+            "models": {"m": {"forecast_horizon": list(horizon), "feature_cols": [f"x_lag_{lag}_mean"]}},
+        }
+    )
+
+
+@pytest.mark.parametrize("config,leaks", [
+    (blocks_of("weeks", 7, range(1, 5), "days"), True),
+    (blocks_of("weeks", 28, range(1, 5), "days"), False),
+    (blocks_of("weeks", 4, range(1, 5)), False),
+    (blocks_of("months", 28, [1], "days"), True),
+    (blocks_of("months", 31, [1], "days"), False),
+    (blocks_of("days", 1, range(1, 8), "weeks"), False),
+])
+def test_leaks_across_units(spark, config, leaks):
+    df = spark.createDataFrame([("a", dt.date(2020, 1, d), float(d), float(d)) for d in (1, 2, 3)], f"id string, date date, sales double, {config.models['m'].feature_cols[0]} double")
+    if leaks:
+        with pytest.raises(ValueError, match="see closer"):
+            final_fit(df, config)
+    else:
+        assert list(final_fit(df, config)) == ["m"]
+
+
+def test_future_weeks_are_scored(spark):
+    df = spark.createDataFrame(
+        [("a", dt.date(2020, 1, 6) + dt.timedelta(7 * i), float(i) if i < 10 else None, float(i)) for i in range(14)],
+        "id string, date date, sales double, x_lag_4_mean double",
+    )
+    config = blocks_of("weeks", 4, range(1, 5))
+    got = score_future(df, final_fit(df, config), config, "2020-03-09").collect()
+    assert [round(r["forecast"], 6) for r in sorted(got, key=lambda r: r["date"])] == [10.0, 11.0, 12.0, 13.0]
+
+
+def test_run_log_tells_what_was_done(spark, path):
+    df = spark.createDataFrame(
+        [("a", dt.date(2020, 1, 1) + dt.timedelta(i), float(i), float(i)) for i in range(60)], "id string, date date, sales double, x_lag_4_mean double"
+    )
+    config, log = blocks_of("days", 4, range(1, 5)), RunLog(spark, path)
+    cross_validate(df, config, log, model=LeastSquares(), run_id="r")
+    run = log.runs().collect()[0]
+    assert run["started"] < run["ended"]
+    assert {r["key"]: r["value"] for r in log.params().collect()} == {"model": "LeastSquares"}
+    assert [tuple(r) for r in log.signatures().select("model", "position", "feature", "type").collect()] == [("m", 0, "x_lag_4_mean", "double")]
+    log.check_signature("r", "m", df)
+    with pytest.raises(ValueError, match="x_lag_4_mean double"):
+        log.check_signature("r", "m", df.withColumn("x_lag_4_mean", df["x_lag_4_mean"].cast("string")))
+    assert spark.read.option("header", True).csv(log.artifact("r", "cv/forecast")).count() == 4
+    evaluate(log)
+    assert log.fold_metric("r").count() == 1

@@ -113,3 +113,23 @@ def test_densify(spark):
     df = spark.createDataFrame([("a", D(2020, 1, 1), 1.0), ("b", D(2020, 1, 3), 2.0)], "k string, date date, v double")
     got = rows(Densify(date_col="date", value_col="v", group_cols=["k"])(df))
     assert got == [(k, D(2020, 1, d), v) for k, vs in (("a", (1.0, 0.0, 0.0)), ("b", (0.0, 0.0, 2.0))) for d, v in zip((1, 2, 3), vs)]
+
+
+def test_densify_loses_nothing(spark):
+    df = spark.createDataFrame(
+        [("a", D(2020, 1, 1), 1.0, "x"), ("a", D(2020, 1, 1), 5.0, "y"), ("a", None, None, "z"), (None, D(2020, 1, 2), None, "w")],
+        "k string, date date, v double, extra string",
+    )
+    got = rows(Densify(date_col="date", value_col="v", group_cols=["k"])(df))
+    assert got == sorted(
+        [
+            ("a", D(2020, 1, 1), 1.0, "x"), ("a", D(2020, 1, 1), 5.0, "y"), ("a", D(2020, 1, 2), 0.0, None), ("a", None, None, "z"),
+            (None, D(2020, 1, 1), 0.0, None), (None, D(2020, 1, 2), None, "w"),
+        ],
+        key=lambda r: tuple((v is None, v if v is not None else 0) for v in r),
+    )
+
+
+def test_pivot_finds_all_folds(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 2, 3.0), ("b", None, 4.0)], "id string, cv int, forecast double")
+    assert PivotForecasts(index=["id"])(df).columns == ["id", "cv_0", "cv_2"]

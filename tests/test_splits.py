@@ -86,7 +86,7 @@ def test_shift(unit, n, then):
 
 @pytest.mark.parametrize("wrong", [
     {"forecast_horizon": [0]}, {"forecast_horizon": []}, {"forecast_horizon": [-1]}, {"step_length": 0}, {"step_length": -1},
-    {"n_splits": 0}, {"end_offset": -1}, {"max_train_size": 0}, {"date_frequency": "quarters"},
+    {"n_splits": 0}, {"end_offset": -1}, {"max_train_size": -1}, {"date_frequency": "quarters"},
 ])
 def test_settings(wrong):
     with pytest.raises(ValueError):

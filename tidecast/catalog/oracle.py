@@ -187,10 +187,11 @@ LINES = """l AS (
          l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge
   FROM lineitem)"""
 
-ORDERS = """SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day
+ORDERS = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day
 FROM orders"""
 
-LARGE = "(SELECT o_orderkey, o_custkey AS c_custkey, o_totalprice FROM orders WHERE o_totalprice >= 450000)"
+CUSTOMER_ORDERS = "(SELECT o_orderkey, o_custkey AS c_custkey, o_totalprice FROM orders)"
+EVENT_USERS = "(SELECT user_id AS c_custkey FROM events)"
 DAILY_ORDERS = "(SELECT CAST(o_orderdate AS DATE) AS day, COUNT(*) AS n_orders FROM orders GROUP BY 1)"
 DAILY_LINES = "(SELECT CAST(l_shipdate AS DATE) AS day, SUM(l_quantity) AS qty FROM lineitem GROUP BY 1)"
 
@@ -212,6 +213,43 @@ MULTI = (D, lagged(7, 14, 21, 28), FOLDS, BOUNDS, f"fc AS ({line_forecasts()})")
 
 WINDOWS, LAGS = (7, 15, 30, 90, 180), (7, 14, 21, 28)
 
+WEEKDAYS = "y AS (SELECT *, dayofweek(date) AS weekday, dayofweek(date) IN (0, 6) AS weekend FROM d)"
+
+
+def fitted_groups(by: str, forecast: str) -> str:
+    """Forecasts of each fold by group, from the count and sum of its training rows."""
+    return f"""g AS (SELECT i, te, train_start, train_end, {by}, COUNT(*) AS n, SUM(sales) AS s FROM y JOIN b ON date <= te GROUP BY ALL),
+fc AS (SELECT y.id, y.date, y.sales, {forecast} AS forecast, CAST(i AS BIGINT) AS cv, train_start, train_end
+  FROM g JOIN y ON y.{by} = g.{by} AND y.date > te AND y.date <= te + 28)"""
+
+
+PERIODS = (("week", "(m + 7 * i::INT)::DATE", "week"), ("month", "(m + to_months(i::INT))::DATE", "month"))
+
+
+def final_fit_at(unit: str, step: str, part: str) -> str:
+    """Sums by week or month, the two periods before a lag, and a straight line for each of two horizons."""
+    order = "date_diff('day', DATE '1970-01-01', date)" if unit == "week" else "year(date) * 12 + month(date)"
+    days = 7 if unit == "week" else 1
+    lag = lambda n: (
+        f"avg(sales) OVER (PARTITION BY item_id, store_id ORDER BY {order} "
+        f"RANGE BETWEEN {days * (n + 1)} PRECEDING AND {days * n} PRECEDING) AS lag_{n}"
+    )
+    shift = step.replace("m +", "m.m +")
+    return with_(
+        D,
+        f"w AS (SELECT id, item_id, store_id, CAST(date_trunc('{part}', date) AS DATE) AS date, SUM(sales) AS sales FROM d GROUP BY ALL)",
+        "m AS (SELECT MAX(date) AS m FROM w)",
+        f"""a AS (SELECT * FROM w UNION ALL
+  SELECT k.*, {shift}, NULL FROM (SELECT DISTINCT id, item_id, store_id FROM w) k, m, range(1, 5) t(i))""",
+        f"x AS (SELECT *, {lag(2)}, {lag(4)} FROM a)",
+    ) + " UNION ALL ".join(
+        f"""SELECT id, {DATE}, '{name}' AS model, round(slope * lag_{n} + icept, 6) AS forecast
+FROM x, (SELECT regr_slope(sales, lag_{n}) AS slope, regr_intercept(sales, lag_{n}) AS icept FROM x)
+WHERE date IN (SELECT {shift} FROM m, range({n - 1}, {n + 1}) t(i))"""
+        for name, n in (("near", 2), ("far", 4))
+    )
+
+
 SQL: dict[str, str] = {
     "select_columns": "SELECT l_orderkey AS L_OrderKey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_returnflag FROM lineitem",
     "cast_columns": """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
@@ -227,19 +265,19 @@ FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'""",
     "filter_dimensions": with_(P) + f"SELECT {SERIES}, {DATE}, sales FROM p WHERE item_id IN ('Brand#2', 'Brand#17')",
     "dimension_members": with_(P) + "SELECT DISTINCT item_id FROM p",
     "parquet_roundtrip": ORDERS,
-    "csv_string_scan": """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
+    "csv_string_scan": """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
   CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS VARCHAR) AS o_totalprice, o_orderpriority,
   CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day
 FROM orders""",
     "csv_typed_scan": ORDERS,
     "csv_roundtrip": with_(*FORECASTS) + FORECAST_COLUMNS,
     "checkpoint_passthrough": ORDERS,
-    "join_inner": f"SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice FROM customer JOIN {LARGE} USING (c_custkey)",
-    "join_left": f"SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice FROM customer LEFT JOIN {LARGE} USING (c_custkey)",
+    "join_inner": f"SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice FROM customer JOIN {CUSTOMER_ORDERS} USING (c_custkey)",
+    "join_left": f"SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice FROM customer LEFT JOIN {CUSTOMER_ORDERS} USING (c_custkey)",
     "join_right": f"SELECT CAST(day AS VARCHAR) AS day, n_orders, qty FROM {DAILY_ORDERS} RIGHT JOIN {DAILY_LINES} USING (day)",
     "join_full": f"SELECT CAST(day AS VARCHAR) AS day, n_orders, qty FROM {DAILY_ORDERS} FULL JOIN {DAILY_LINES} USING (day)",
-    "join_semi": f"SELECT c_custkey, c_mktsegment FROM customer SEMI JOIN {LARGE} USING (c_custkey)",
-    "join_anti": f"SELECT c_custkey, c_mktsegment FROM customer ANTI JOIN {LARGE} USING (c_custkey)",
+    "join_semi": f"SELECT c_custkey, c_mktsegment FROM customer SEMI JOIN {EVENT_USERS} USING (c_custkey)",
+    "join_anti": f"SELECT c_custkey, c_mktsegment FROM customer ANTI JOIN {EVENT_USERS} USING (c_custkey)",
     "join_calendar": with_(D, SPAN, C, CELLS)
     + """SELECT cells.d, id, item_id, store_id, CAST(CAST(sales AS BIGINT) AS VARCHAR) AS sales, c.date AS day, snap_CA
 FROM cells LEFT JOIN c ON cells.d = c.d""",
@@ -279,7 +317,7 @@ FROM (SELECT DISTINCT item_id, store_id FROM p) k
 FROM l""",
     "encode_price": with_(LINES)
     + f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
-  {rolled('r', [30], [7], by='l_returnflag', value='charge', digits=2)}
+  {rolled('r', [30], [7], by='l_returnflag', value='charge', digits=4)}
 FROM l""",
     "encode_no_partition": with_(LINES)
     + f"""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_returnflag, {DATE}, l_quantity,
@@ -365,6 +403,30 @@ FROM h, f WHERE hour IN (te + to_hours(1), te + to_hours(2), te + to_hours(3), t
     )
     + FORECAST_COLUMNS,
     "cv_direct_multi_horizon": with_(*MULTI) + FORECAST_COLUMNS,
+    # Trees deep enough put each weekday into a leaf: its mean under squared loss, and under Tweedie loss a Newton
+    # step from its count and sum in each of 100 rounds. A straight line over a 0/1 feature gives two means.
+    "cv_forecast_gbt": with_(D, FOLDS, BOUNDS, WEEKDAYS, fitted_groups("weekday", "s / n")) + FORECAST_COLUMNS,
+    "cv_forecast_tweedie": "WITH RECURSIVE "
+    + with_(
+        D,
+        FOLDS,
+        BOUNDS,
+        WEEKDAYS,
+        """g AS (SELECT *, SUM(s) OVER (PARTITION BY i) / SUM(n) OVER (PARTITION BY i) AS mean
+        FROM (SELECT i, te, train_start, train_end, weekday, COUNT(*)::DOUBLE AS n, SUM(sales)::DOUBLE AS s
+              FROM y JOIN b ON date <= te GROUP BY ALL))""",
+        """r AS (
+  SELECT i, weekday, 0 AS round, ln(mean)::DOUBLE AS score FROM g
+  UNION ALL
+  SELECT r.i, r.weekday, round + 1, score + 0.1::DOUBLE * (s * exp(-0.5::DOUBLE * score) - n * exp(0.5::DOUBLE * score))
+    / (0.5::DOUBLE * n * exp(0.5::DOUBLE * score) + 0.5::DOUBLE * s * exp(-0.5::DOUBLE * score))
+  FROM r JOIN g ON r.i = g.i AND r.weekday = g.weekday WHERE round < 100)""",
+        """fc AS (SELECT y.id, y.date, y.sales, exp(score) AS forecast, CAST(g.i AS BIGINT) AS cv, train_start, train_end
+  FROM r JOIN g ON r.i = g.i AND r.weekday = g.weekday AND round = 100 JOIN y ON y.weekday = g.weekday AND y.date > te AND y.date <= te + 28)""",
+    ).removeprefix("WITH ")
+    + FORECAST_COLUMNS,
+    "cv_forecast_tweedie_linear": with_(D, FOLDS, BOUNDS, WEEKDAYS, fitted_groups("weekend", "s / n"))
+    + FORECAST_COLUMNS.replace("round(forecast, 6)", "round(forecast, 4)"),
     "final_fit_predict": with_(
         D,
         "m AS (SELECT MAX(date) AS m FROM d)",
@@ -385,13 +447,14 @@ WHERE date > m + {7 * i - 7} AND date <= m + {7 * i}"""
         lagged(28),
         """y AS (SELECT *, avg(sales) OVER (PARTITION BY item_id, store_id ORDER BY date_diff('day', DATE '1970-01-01', date)
            RANGE BETWEEN 57 PRECEDING AND 28 PRECEDING) AS month_28 FROM x)""",
-        "e AS (SELECT MAX(date) - 28 AS te FROM d)",
+        FOLDS,
+        """w AS (SELECT i, te, regr_slope(sales, lag_28) AS s1, regr_intercept(sales, lag_28) AS i1,
+                   regr_slope(sales, month_28) AS s2, regr_intercept(sales, month_28) AS i2 FROM y JOIN f ON date <= te GROUP BY i, te)""",
     )
-    + f"""SELECT id, {DATE}, sales, round(lag_28, 6) AS pred_1, round(s1 * lag_28 + i1, 6) AS pred_2,
+    + f"""SELECT id, {DATE}, sales, CAST(i AS BIGINT) AS cv, round(lag_28, 6) AS pred_1, round(s1 * lag_28 + i1, 6) AS pred_2,
   round(s2 * month_28 + i2, 6) AS pred_3
-FROM y, e, (SELECT regr_slope(sales, lag_28) AS s1, regr_intercept(sales, lag_28) AS i1,
-                   regr_slope(sales, month_28) AS s2, regr_intercept(sales, month_28) AS i2 FROM y, e WHERE date <= te)
-WHERE date > te AND date <= te + 28""",
+FROM y JOIN w ON date > te AND date <= te + 28""",
+    **{f"final_fit_predict_{unit}": final_fit_at(unit, step, days) for unit, step, days in PERIODS},
     "rmse_global": with_(*FORECASTS) + "SELECT round(sqrt(avg((sales - forecast) ** 2)), 6) AS rmse FROM fc",
     "fold_summary": with_(*FORECASTS, SUMMARY)
     + """SELECT cv, CAST(train_start AS VARCHAR) AS train_start, CAST(train_end AS VARCHAR) AS train_end,

@@ -10,7 +10,10 @@ from tidecast.operators import TargetEncoder, TimeBasedSplit
 from tidecast.plans.backtest import cross_val_forecast
 from tidecast.plans.features import SERIES_COLUMNS
 from tidecast.sources import read_csv_strings, read_parquet, table, write_csv, write_parquet
-from tidecast.storage import scratch_path
+from tidecast.storage import broadcast_within, scratch_path
+
+#: Parts or suppliers that are sent to all executors at most; each is a number and a short name.
+DIMENSION_ROWS = 1_000_000
 
 
 def shipped(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,10 +39,10 @@ def flag_panel(spark: SparkSession, folder: str) -> DataFrame:
 def brand_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Shipped quantity by day, brand and region of the supplier (panel P).
 
-    Quantities are summed up per part, supplier and day before the joins, so
-    that a part sold very often does not weigh on one join task.
+    The lines meet parts and suppliers where they are read, if those tables are
+    within the bounds of a broadcast, and are shuffled once, summed up. Beyond
+    the bounds the joins shuffle, and adaptive execution splits a hot part.
     """
-    daily = shipped(spark, folder).groupBy("l_partkey", "l_suppkey", "date").agg(F.sum("l_quantity").alias("qty"))
     brands = table(spark, folder, "part").select("p_partkey", "p_brand")
     regions = (
         table(spark, folder, "supplier")
@@ -48,10 +51,11 @@ def brand_panel(spark: SparkSession, folder: str) -> DataFrame:
         .select("s_suppkey", "r_name")
     )
     return (
-        daily.join(brands, F.col("l_partkey") == F.col("p_partkey"))
-        .join(regions, F.col("l_suppkey") == F.col("s_suppkey"))
+        shipped(spark, folder)
+        .join(broadcast_within(brands, DIMENSION_ROWS), F.col("l_partkey") == F.col("p_partkey"))
+        .join(broadcast_within(regions, DIMENSION_ROWS), F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("p_brand", "r_name", "date")
-        .agg(F.sum("qty").alias("sales"))
+        .agg(F.sum("l_quantity").alias("sales"))
         .select(
             F.concat_ws("_", "p_brand", "r_name").alias("id"),
             F.col("p_brand").alias("item_id"),

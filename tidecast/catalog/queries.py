@@ -37,6 +37,7 @@ from tidecast.operators import (
 )
 from tidecast.functions.dateparts import DATE_PARTS
 from tidecast.operators.base import quoted
+from tidecast.plans.backtest import stack as stacked_rows
 from tidecast.plans import (
     calendar_pipeline,
     cross_val_forecast,
@@ -150,11 +151,16 @@ def dimension_members(spark, folder):
 
 def orders(spark, folder):
     return table(spark, folder, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", F.col("o_orderdate").cast("date").alias("day")
+        "o_orderkey",
+        "o_custkey",
+        "o_orderstatus",
+        "o_totalprice",
+        "o_orderpriority",
+        F.col("o_orderdate").cast("date").alias("day"),
     )
 
 
-ORDERS = "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderpriority string, day date"
+ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string, day date"
 
 
 @query
@@ -198,12 +204,12 @@ def customers(spark, folder):
     return table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
 
 
-def large_orders(spark, folder):
-    return (
-        table(spark, folder, "orders")
-        .where(F.col("o_totalprice") >= 450_000)
-        .select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
-    )
+def customer_orders(spark, folder):
+    return table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+
+
+def event_users(spark, folder):
+    return table(spark, folder, "events").select(F.col("user_id").alias("c_custkey"))
 
 
 def daily_orders(spark, folder):
@@ -218,12 +224,12 @@ def daily_lines(spark, folder):
 
 @query
 def join_inner(spark, folder):
-    return JoinDataFrame(df=large_orders(spark, folder), on="c_custkey", how="inner")(customers(spark, folder))
+    return JoinDataFrame(df=customer_orders(spark, folder), on="c_custkey", how="inner")(customers(spark, folder))
 
 
 @query
 def join_left(spark, folder):
-    return JoinDataFrame(df=large_orders(spark, folder), on="c_custkey", how="left")(customers(spark, folder))
+    return JoinDataFrame(df=customer_orders(spark, folder), on="c_custkey", how="left")(customers(spark, folder))
 
 
 @query
@@ -238,12 +244,12 @@ def join_full(spark, folder):
 
 @query
 def join_semi(spark, folder):
-    return JoinDataFrame(df=large_orders(spark, folder), on="c_custkey", how="left_semi")(customers(spark, folder))
+    return JoinDataFrame(df=event_users(spark, folder), on="c_custkey", how="left_semi")(customers(spark, folder))
 
 
 @query
 def join_anti(spark, folder):
-    return JoinDataFrame(df=large_orders(spark, folder), on="c_custkey", how="left_anti")(customers(spark, folder))
+    return JoinDataFrame(df=event_users(spark, folder), on="c_custkey", how="left_anti")(customers(spark, folder))
 
 
 @query
@@ -326,7 +332,7 @@ def future_no_group(spark, folder):
 @query
 def densify(spark, folder):
     return Densify(date_col="date", value_col="sales", group_cols=["item_id", "store_id"])(
-        panels.brand_panel(spark, folder)
+        panels.brand_panel(spark, folder).drop("id")
     )
 
 
@@ -377,7 +383,7 @@ def encode_price(spark, folder):
     rows = rolling("day", [30], [7], value_col="charge", partition_cols=["l_returnflag"])(
         line_rows(spark, folder)
     )
-    return shown(rows.select("l_orderkey", "l_linenumber", "r_window_30_lag_7_mean", "r_window_30_lag_7_std"), 2)
+    return shown(rows.select("l_orderkey", "l_linenumber", "r_window_30_lag_7_mean", "r_window_30_lag_7_std"), 4)
 
 
 @query
@@ -565,35 +571,41 @@ def cv_direct_multi_horizon(spark, folder):
     return multi_horizon_forecast(rows, blocks())
 
 
-WIDE_FEATURES = [f"item_store_window_{w}_lag_28_{f}" for w in (7, 30) for f in ("mean", "std")]
+def by_weekday(spark, folder, model, features=("day_of_week",)):
+    """A back-test over few-valued features, of which SQL can tell the fitted model."""
+    panel = DateFeatures(input_col="date", features=["day_of_week"])(panels.flag_panel(spark, folder))
+    rows = panels.stored(panel.withColumn("weekend", F.col("day_of_week").isin(1, 7).cast("int")))
+    return cross_val_forecast(
+        model=model, cv=panels.BACKTEST, df=rows, date_col="date", feature_cols=list(features), target_col="sales", id_cols=["id"]
+    )
 
 
 @query
 def cv_forecast_gbt(spark, folder):
-    model = boosted_trees(rounds=5, depth=4)
-    return backtest(spark, folder, model, WIDE_FEATURES, ("mean", "std"), (7, 30))
+    return by_weekday(spark, folder, boosted_trees(depth=6))
 
 
 @query
 def cv_forecast_tweedie(spark, folder):
-    model = TweedieBoostedTrees(rounds=5, rate=0.3, depth=4)
-    return backtest(spark, folder, model, WIDE_FEATURES, ("mean", "std"), (7, 30))
+    return by_weekday(spark, folder, TweedieBoostedTrees(depth=6))
 
 
 @query
 def cv_forecast_tweedie_linear(spark, folder):
-    return backtest(spark, folder, tweedie_linear(), WIDE_FEATURES, ("mean", "std"), (7, 30))
+    return shown(by_weekday(spark, folder, tweedie_linear(regularisation=0.0), ["weekend"]), 4)
 
 
 @query
 def stacked_predictions(spark, folder):
-    """Three forecasters side by side on the last fold's test rows."""
+    """Three forecasters side by side on the test rows of all folds."""
     rows = panels.stored(panels.lagged(panels.flag_panel(spark, folder), windows=(7, 30)))
-    fold = panels.BACKTEST.folds(rows)[0]
     week, month = (["item_store_window_7_lag_28_mean"], ["item_store_window_30_lag_28_mean"])
     stack = StackedForecaster([Passthrough(), LeastSquares(), LeastSquares()])
-    model = stack.fit(fold.train(rows), feature_sets=[week, week, month], target_col="sales")
-    return model.transform(fold.test(rows)).select("id", "date", "sales", "pred_1", "pred_2", "pred_3")
+    parts = []
+    for fold in panels.BACKTEST.folds(rows):
+        model = stack.fit(fold.train(rows), feature_sets=[week, week, month], target_col="sales")
+        parts.append(model.transform(fold.test(rows)).withColumn("cv", F.lit(fold.number)))
+    return stacked_rows(parts).select("id", "date", "sales", "cv", "pred_1", "pred_2", "pred_3")
 
 
 @query
@@ -606,6 +618,40 @@ def final_fit_predict(spark, folder):
     return score_future(featured, final_fit(featured, config), config, last)
 
 
+def final_fit_at(spark, folder, unit):
+    """The flag panel by week or month: fit to all rows, forecast the four periods after the last one."""
+    config = BacktestConfig.from_dict(
+        {
+            "data": {"id_col": "id", "target_col": "sales", "date_col": "date", "date_frequency": unit + "s"},
+            "hyperparameters": {"objective": "least_squares"},
+            "cv": {"splits": 1, "test_size": 4},
+            "models": {
+                name: {"forecast_horizon": steps, "feature_cols": [f"r_window_2_lag_{max(steps)}_mean"]}
+                for name, steps in {"near": [1, 2], "far": [3, 4]}.items()
+            },
+        }
+    )
+    panel = (
+        panels.flag_panel(spark, folder)
+        .groupBy("id", "item_id", "store_id", F.date_trunc(unit, "date").cast("date").alias("date"))
+        .agg(F.sum("sales").alias("sales"))
+    )
+    more = CreateFutureSet(date_col="date", n_periods=4, date_frequency=unit, group_cols=["id", "item_id", "store_id"])
+    featured = panels.stored(rolling(unit, [2], [2, 4], one_row_per_period=True)(more(panel)))
+    last = panel.agg(F.max("date").cast("string")).first()[0]
+    return score_future(featured, final_fit(featured, config), config, last)
+
+
+@query
+def final_fit_predict_week(spark, folder):
+    return final_fit_at(spark, folder, "week")
+
+
+@query
+def final_fit_predict_month(spark, folder):
+    return final_fit_at(spark, folder, "month")
+
+
 # -- scores and run log -------------------------------------------------------------
 
 

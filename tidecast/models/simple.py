@@ -6,30 +6,41 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.models.base import TEMP, Forecaster, added, fitted, labelled
+from tidecast.models.ml import RegressorForecaster
 from tidecast.operators.base import quoted, ticked
 
 
 @dataclass(frozen=True)
 class Passthrough(Forecaster):
-    """The forecast is the first feature column, such as a lagged mean."""
+    """The forecast is the one feature column, such as a lagged mean."""
 
     def fit(
         self, df: DataFrame, *, feature_cols: Sequence[str], target_col: str, output_col: str = "forecast"
     ) -> PipelineModel:
+        if len(feature_cols) != 1:
+            raise ValueError(f"the forecast is one feature column, not {list(feature_cols)}")
         return fitted([added(ticked(feature_cols[0]), output_col)])
 
 
 @dataclass(frozen=True)
 class LeastSquares(Forecaster):
-    """A straight line through the first feature column, by ordinary least squares."""
+    """Ordinary least squares over all feature columns.
+
+    Over one feature, rows without it are not fitted and get no forecast. Over
+    more, gaps are filled with the training mean and marked by a 0/1 column.
+    """
 
     def fit(
         self, df: DataFrame, *, feature_cols: Sequence[str], target_col: str, output_col: str = "forecast"
     ) -> PipelineModel:
+        if len(feature_cols) > 1:
+            plane = RegressorForecaster(lambda: LinearRegression(solver="normal"))
+            return plane.fit(df, feature_cols=feature_cols, target_col=target_col, output_col=output_col)
         feature = feature_cols[0]
         rows = labelled(df, [feature], target_col)
         x, y = quoted(feature).cast("double"), F.col(TEMP + "label")

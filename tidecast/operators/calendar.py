@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.dateparts import DATE_PARTS
 from tidecast.functions.periods import PANEL_FREQUENCIES, Frequency, add_periods
-from tidecast.operators.base import Operator, fresh, paired, quoted, type_of
+from tidecast.operators.base import Operator, fresh, paired, quoted
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -72,9 +72,12 @@ class CreateFutureSet(Operator):
             series = df.groupBy(*groups).agg(newest)
             start = F.col(last)
         else:
-            # The last date is one value, so it enters as a scalar subquery.
-            series = self.keys.select(*groups) if self.keys is not None else df.select(*groups).distinct()
-            start = df.agg(newest).scalar() if start is None else start
+            # One aggregate over the table holds the series and their last dates; over it, the last date of all
+            # enters as a scalar subquery that reads the same shuffle.
+            ends = df.groupBy(*groups).agg(newest)
+            series = ends if self.keys is None else self.keys.select(*groups)
+            if start is None:
+                start = (ends if self.keys is None else df).agg(F.max(F.col(last) if self.keys is None else quoted(self.date_col))).scalar()
         steps = series.select("*", F.explode(F.sequence(F.lit(1), F.lit(self.n_periods))).alias(step))
 
         keep = {c.lower() for c in groups}
@@ -94,9 +97,10 @@ class CreateFutureSet(Operator):
 class Densify(Operator):
     """Give every series a row for every day between the first and last date of the table.
 
-    Days without a row get ``fill`` as their value. The melted wide table has
-    such a row for each day by itself; a panel summed from transactions has not.
-    Each series and day must hold one row at most.
+    Days without a row get one with ``fill`` as its value and NULL in all other
+    columns. Rows that are there stay as they are: repeated rows of a day, NULL
+    values, and rows without a date. The melted wide table has a row for each day
+    by itself; a panel summed from transactions has not.
     """
 
     date_col: str
@@ -105,18 +109,34 @@ class Densify(Operator):
     fill: float = 0.0
 
     def transform(self, df: DataFrame) -> DataFrame:
-        day = quoted(self.date_col).cast("date")
         groups = list(self.group_cols)
-        first, last = df.agg(F.min(day)).scalar(), df.agg(F.max(day)).scalar()
-        empty = df.select(*groups).distinct().select(
-            *groups,
-            F.explode(F.sequence(first, last)).alias(self.date_col),
-            F.lit(None).cast(type_of(df, self.value_col)).alias(self.value_col),
-        )
-        rows = df.select(*groups, day.alias(self.date_col), self.value_col)
-        # Empty cells and rows meet in one aggregation: max skips the NULL of the cell.
-        return (
-            rows.unionByName(empty)
-            .groupBy(*groups, self.date_col)
-            .agg(F.coalesce(F.max(self.value_col), F.lit(self.fill)).alias(self.value_col))
+        first, last, day, made, row = fresh(df, "first", "last", "day", "made", "row")
+        dated = quoted(self.date_col).cast("date")
+        # One aggregate holds the series and, over all of them, the span.
+        series = df.groupBy(*map(quoted, groups)).agg(F.min(dated).alias(first), F.max(dated).alias(last))
+        begin, end = series.agg(F.min(first)).scalar(), series.agg(F.max(last)).scalar()
+        keys = dict(zip(groups, fresh(df, *[f"key{i}" for i in range(len(groups))])))
+        cells = series.select(
+            *[quoted(g).alias(k) for g, k in keys.items()],
+            F.explode(F.sequence(begin, end)).alias(day),
+            F.lit(True).alias(made),
         )
+        meet = dated == F.col(day)
+        for group, key in keys.items():
+            meet = meet & quoted(group).eqNullSafe(F.col(key))
+        # Rows without a date meet no cell and stay; cells without a row become one.
+        gap = F.col(row).isNull()
+        both = df.withColumn(row, F.lit(True)).join(cells, meet, "full")
+        folded = {g.lower(): k for g, k in keys.items()}
+        out = []
+        for field in df.schema.fields:
+            kept, name = quoted(field.name), field.name.lower()
+            if name in folded:
+                kept = F.when(gap, F.col(folded[name])).otherwise(kept)
+            elif name == self.date_col.lower():
+                kept = F.when(gap, F.col(day).cast(field.dataType)).otherwise(kept)
+            elif name == self.value_col.lower():
+                kept = F.when(gap, F.lit(self.fill).cast(field.dataType)).otherwise(kept)
+            out.append(kept.alias(field.name))
+        return both.select(*out)
+

@@ -47,19 +47,24 @@ class PivotForecasts(Operator):
     """One column per fold, ``cv_0`` and so on, from rows of (keys, fold, forecast).
 
     Several forecasts of one cell are averaged. Rows with a NULL key are left
-    out. ``folds`` lists the fold numbers, so that no extra pass finds them.
+    out. ``folds`` names the folds that get a column, which saves a pass over the
+    rows; forecasts of other folds are then left out. Without it, all folds found
+    get one, in order.
     """
 
     index: Sequence[str]
-    folds: Sequence[Any]
+    folds: Sequence[Any] | None = None
     fold_col: str = "cv"
     value_col: str = "forecast"
     prefix: str = "cv_"
 
     def transform(self, df: DataFrame) -> DataFrame:
+        folds = self.folds
+        if folds is None:  # one row for each fold
+            folds = sorted(r[0] for r in df.select(quoted(self.fold_col)).dropna().distinct().collect())
         cells = [
             F.avg(F.when(quoted(self.fold_col) == F.lit(f), quoted(self.value_col))).alias(f"{self.prefix}{f}")
-            for f in self.folds
+            for f in folds
         ]
-        found = df.dropna(subset=[*self.index, self.value_col]).where(quoted(self.fold_col).isin(list(self.folds)))
+        found = df.dropna(subset=[*self.index, self.value_col]).where(quoted(self.fold_col).isin(list(folds)))
         return found.groupBy(*self.index).agg(*cells)

@@ -60,6 +60,12 @@ class Fold:
         first, last = min(self.test_dates), max(self.test_dates)
         return df.where(quoted(self.date_col).between(self._at(first), self._at(last)) & self.is_test)
 
+    def with_horizon(self, steps: Sequence[int], unit: Frequency) -> Fold:
+        """The same training rows, tested at these steps after their end; ``n_test`` is left as it was."""
+        end, whole_days = dt.datetime.fromisoformat(self.train_end), len(self.train_end) == 10
+        moments = [shift(end, h, unit) for h in steps]
+        return replace(self, test_dates=tuple(m.date().isoformat() if whole_days else m.isoformat(" ", "microseconds") for m in moments))
+
     def bounds(self) -> tuple[Column, Column]:
         """First and last training date of the table, as typed columns."""
         return (
@@ -94,8 +100,8 @@ class TimeBasedSplit(Operator):
             len(self.forecast_horizon) == 0 or any(h < 1 for h in self.forecast_horizon)
         ):
             raise ValueError(f"forecast_horizon needs positive steps, not {self.forecast_horizon}")
-        if self.max_train_size is not None and self.max_train_size < 1:
-            raise ValueError(f"max_train_size must be positive, not {self.max_train_size}")
+        if self.max_train_size is not None and self.max_train_size < 0:
+            raise ValueError(f"max_train_size must be positive, or 0 or None for no limit, not {self.max_train_size}")
         if self.n_splits < 1:
             raise ValueError(f"n_splits must be positive, not {self.n_splits}")
         if self.end_offset < 0:
@@ -173,7 +179,7 @@ class TimeBasedSplit(Operator):
     def _plan(self, number: int, newest: dt.datetime, kind: str) -> Fold:
         unit = Frequency.parse(self.date_frequency)
         end = shift(newest, -(number * self._step() + self.end_offset + max(self.horizon)), unit)
-        after = None if self.max_train_size is None else shift(end, -self.max_train_size, unit)
+        after = None if not self.max_train_size else shift(end, -self.max_train_size, unit)
 
         whole_days = kind == "date" and not unit.below_a_day
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import fields, is_dataclass
 from functools import reduce
 from typing import Any
 
@@ -13,10 +15,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.functions.periods import Frequency, shift
 from tidecast.models import Forecaster, forecaster
 from tidecast.operators import Fold, TimeBasedSplit
 from tidecast.operators.base import quoted
 from tidecast.sources.config import BacktestConfig, Block
+from tidecast.sources.files import write_csv
 from tidecast.sources.runlog import RunLog
 
 LAG = re.compile(r"_lag_(\d+)_")
@@ -37,12 +41,37 @@ def in_parallel(df: DataFrame, tasks: Sequence[Callable[[], Any]], threads: int)
         return [w.result() for w in waiting]
 
 
-def check_leak(block: Block, frequency_step: int = 1) -> None:
-    """Error if a feature's lag is shorter than the last step the block forecasts."""
-    furthest = max(block.forecast_horizon) * frequency_step
-    short = [c for c in block.feature_cols if (m := LAG.search(c)) and int(m.group(1)) < furthest]
+#: Days of a unit: the fewest and the most.
+UNIT_DAYS = {
+    Frequency.YEAR: (365, 366),
+    Frequency.MONTH: (28, 31),
+    Frequency.WEEK: (7, 7),
+    Frequency.DAY: (1, 1),
+    Frequency.HOUR: (1 / 24, 1 / 24),
+    Frequency.MINUTE: (1 / 1440, 1 / 1440),
+    Frequency.SECOND: (1 / 86_400, 1 / 86_400),
+    Frequency.MICROSECOND: (1 / 86_400e6, 1 / 86_400e6),
+}
+
+
+def check_leak(block: Block, date_frequency: str = "days", lag_frequency: str | None = None) -> None:
+    """Error if a feature's lag may be shorter than the last step the block forecasts.
+
+    Steps count in ``date_frequency``, lags in ``lag_frequency`` (the same unless
+    given). Between two units, the shortest lag is held against the longest step.
+    """
+    steps = Frequency.parse(date_frequency)
+    lags = steps if lag_frequency is None else Frequency.parse(lag_frequency)
+    furthest = max(block.forecast_horizon)
+    least = furthest if lags is steps else furthest * UNIT_DAYS[steps][1] / UNIT_DAYS[lags][0]
+    short = [c for c in block.feature_cols if (m := LAG.search(c)) and int(m.group(1)) < least]
     if short:
-        raise ValueError(f"features {short} see closer than {furthest} steps back, the furthest step forecast")
+        raise ValueError(f"features {short} see closer than {furthest} {steps.value}s back, the furthest step forecast")
+
+
+def check_blocks(config: BacktestConfig) -> None:
+    for block in config.models.values():
+        check_leak(block, config.date_frequency, config.lag_frequency)
 
 
 def fold_forecast(
@@ -113,9 +142,11 @@ def multi_horizon_forecast(
     """Cross-validated forecasts of all horizon blocks."""
     model = forecaster(config.hyperparameters) if model is None else model
     blocks = list(config.models.values())
-    for block in blocks:
-        check_leak(block)
-    splits = in_parallel(df, [lambda b=b: block_split(config, b).folds(df) for b in blocks], threads)
+    check_blocks(config)
+    unit = Frequency.parse(config.date_frequency)
+    # All blocks share their training ends: one search for them, and the steps of each block.
+    shared = block_split(config, Block(tuple(sorted({h for b in blocks for h in b.forecast_horizon})), ())).folds(df)
+    splits = [[fold.with_horizon(b.forecast_horizon, unit) for fold in shared] for b in blocks]
     tasks = [
         lambda block=block, fold=fold: fold_forecast(
             model,
@@ -136,6 +167,7 @@ def final_fit(
 ) -> dict[str, PipelineModel]:
     """One model per block, fitted to all rows that have a target."""
     model = forecaster(config.hyperparameters) if model is None else model
+    check_blocks(config)
     tasks = [
         lambda block=block: model.fit(df, feature_cols=block.feature_cols, target_col=config.target_col)
         for block in config.models.values()
@@ -146,13 +178,13 @@ def final_fit(
 def score_future(
     df: DataFrame, models: dict[str, PipelineModel], config: BacktestConfig, last_date: str
 ) -> DataFrame:
-    """Forecasts for the days after ``last_date``, each by the model of its horizon block."""
+    """Forecasts for the periods after ``last_date``, each by the model of its horizon block."""
+    unit, last = Frequency.parse(config.date_frequency), dt.datetime.fromisoformat(last_date)
+    kind = df.select(quoted(config.date_col)).schema[0].dataType.simpleString()
     parts = []
     for name, block in config.models.items():
-        step = F.datediff(quoted(config.date_col), F.lit(last_date).cast("date"))
-        rows = df.where(
-            (quoted(config.date_col) > F.lit(last_date).cast("date")) & step.isin(list(block.forecast_horizon))
-        )
+        moments = [shift(last, h, unit) for h in block.forecast_horizon]
+        rows = df.where(quoted(config.date_col).isin([F.lit(m.isoformat(sep=" ")).cast("timestamp_ntz").cast(kind) for m in moments]))
         parts.append(
             models[name]
             .transform(rows)
@@ -169,11 +201,22 @@ def cross_validate(
     run_id: str | None = None,
     threads: int = 4,
 ) -> str:
-    """The whole back-test into the run log: parameters, forecasts, final models. Returns the run id."""
-    run_id = log.new_run() if run_id is None else run_id
-    log.log_params(run_id, config.hyperparameters)
+    """The whole back-test into the run log: parameters, forecasts, final models. Returns the run id.
+
+    The forecasts are also written as CSV to the run's artifact ``output_dir/output_file``.
+    """
+    run_id = log.new_run(run_id)
+    log.log_params(run_id, config.hyperparameters if model is None else parameters_of(model))
     log.log_forecast(run_id, multi_horizon_forecast(df, config, model, threads))
+    write_csv(log.forecast(run_id), log.artifact(run_id, f"{config.output_dir}/{config.output_file}"))
     for name, fitted in final_fit(df, config, model, threads).items():
-        log.log_model(run_id, name, fitted)
+        features = df.select(*map(quoted, config.models[name].feature_cols)).schema
+        log.log_model(run_id, name, fitted, features)
     log.finish(run_id)
     return run_id
+
+
+def parameters_of(model: Forecaster) -> dict[str, Any]:
+    """The kind of a forecaster and what it was made with."""
+    given = {f.name: getattr(model, f.name) for f in fields(model)} if is_dataclass(model) else {}
+    return {"model": type(model).__name__, **{k: v for k, v in given.items() if not callable(v)}}

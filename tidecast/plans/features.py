@@ -49,7 +49,10 @@ def calendar_pipeline(calendar: DataFrame, *, columns: Sequence[str] = CALENDAR_
 class FeatureBuild(Operator):
     """Melt, cast, calendar join, future days, rolling features, date parts.
 
-    Takes the wide table: one row per series, one column per day. ``cut`` writes
+    Takes the wide table: one row per series, one column per day. A series in
+    several rows gets its future days once. ``one_row_per_period`` leaves out the
+    sums by period before the windows; unless given, the rows of the wide table
+    are counted by ``partition_cols`` to see whether each has one. ``cut`` writes
     the joined panel to the checkpoint folder before the windows. The windows read
     the panel once, so it is off unless asked for.
     """
@@ -63,7 +66,7 @@ class FeatureBuild(Operator):
     lags: Sequence[int] = LAGS
     functions: Sequence[str] = ("mean", "std")
     prefix: str = "item_store"
-    one_row_per_period: bool = True
+    one_row_per_period: bool | None = None
     cut: bool = False
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -77,18 +80,20 @@ class FeatureBuild(Operator):
             ),
             ColumnType(input_cols=["sales"], value="float"),
             JoinDataFrame(df=self.calendar, on="d", how="left", broadcast_rows=CALENDAR_ROWS),
-            # The wide table holds each series once, so its keys need no distinct.
             CreateFutureSet(
                 group_cols=self.series_columns,
                 date_col="date",
                 n_periods=self.n_periods,
                 date_frequency="day",
-                keys=df,
+                keys=df.select(*self.series_columns).dropDuplicates(),
                 last_date=melted_days.agg(F.max("date")).scalar(),
             ),
         ]
         if self.cut:
             steps.append(Checkpointer(eager=True))
+        unique = self.one_row_per_period
+        if unique is None:
+            unique = df.groupBy(*self.partition_cols).count().where("count > 1").isEmpty()
         steps += [
             TargetEncoder(
                 partition_cols=self.partition_cols,
@@ -99,7 +104,7 @@ class FeatureBuild(Operator):
                 value_col="sales",
                 date_col="date",
                 output_col_prefix=self.prefix,
-                one_row_per_period=self.one_row_per_period,
+                one_row_per_period=unique,
             ),
             DateFeatures(input_col="date", features=DATE_PARTS),
         ]

@@ -29,6 +29,8 @@ class BacktestConfig:
     hyperparameters: Mapping[str, Any] = field(default_factory=dict)
     output_file: str = "forecast"
     output_dir: str = "cv"
+    #: Unit of the lags in feature names; the date frequency unless given.
+    lag_frequency: str | None = None
 
     @classmethod
     def from_dict(cls, settings: Mapping[str, Any]) -> "BacktestConfig":
@@ -47,6 +49,7 @@ class BacktestConfig:
             hyperparameters=dict(settings.get("hyperparameters") or {}),
             output_file=output.get("file", "forecast"),
             output_dir=output.get("dir", "cv"),
+            lag_frequency=data.get("lag_frequency"),
         )
 
     @classmethod
