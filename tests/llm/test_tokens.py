@@ -20,6 +20,7 @@ def test_encoder_equals_the_library(path):
     texts = ["", "a  b", "a\n b  c", "it's 'S", "don't.x", "a.,b", "x\x1c y", "<|endoftext|> a", " lead", "trail ", "Σας ΣΑΣ. İx", "日本語 。x", "a\u0085b", "o'. 's"]
     texts += ["".join(r.choice("ab 'sStT.,!?\n\t 12éß́_-\x85 <|") for _ in range(r.randint(1, 25))) for _ in range(3000)]
     held = Encoder(path, words_held=200)
+    assert held.spell is not None
     for t in texts:
         assert held.bytes_of(t) == array("I", plain.encode(t, add_special_tokens=False).ids).tobytes(), t
 

@@ -15,6 +15,24 @@ PIECE = re.compile(r"\s*\S+|\s+")
 ODD = re.compile("[\x1c-\x1f]")
 #: A word and the marks after it, which are always tokens of their own.
 MARKED = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:]+)", re.DOTALL)
+#: A word of Latin letters: one token before merging, so that the merges alone can be asked for.
+LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+SAMPLES = (" Word", "word", " über", "Éa", " ß", " THE", "of")
+
+
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: printable ones as they are, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+
+
+BYTE_LETTERS = byte_letters()
+#: How a tokenizer may spell a word for its merges.
+SPELLINGS = (
+    lambda w: w.encode().decode("latin-1").translate(BYTE_LETTERS),
+    lambda w: w.strip().lower().encode().decode("latin-1").translate(BYTE_LETTERS),
+)
 
 
 class Encoder:
@@ -28,8 +46,19 @@ class Encoder:
         self.held: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.most = words_held // 2
+        self.model = self.tokenizer.model
+        known = [self._whole(w) for w in SAMPLES]
+        self.spell = next((f for f in SPELLINGS if [self._merged(f(w)) for w in SAMPLES] == known), None)
+
+    def _merged(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _encode(self, text: str) -> bytes:
+        if self.spell is not None and LETTERS.fullmatch(text):
+            return self._merged(self.spell(text))
+        return self._whole(text)
+
+    def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
@@ -45,7 +74,7 @@ class Encoder:
 
     def bytes_of(self, text: str) -> bytes:
         if "<|" in text or ODD.search(text):
-            return self._encode(text)
+            return self._whole(text)
         pieces, held = PIECE.findall(text), self.held
         try:
             return b"".join(map(held.__getitem__, pieces))
