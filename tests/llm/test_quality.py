@@ -50,6 +50,23 @@ def test_template_lines_go_and_depleted_documents_with_them(spark, docs):
     assert out[0].text == body(0) and out[0].n_chars == len(body(0)) and out[0].spans == "own spans"
 
 
+def test_mostly_template_pages_and_a_copied_carrier(docs):
+    """A template decides by itself neither which pages are different nor, if one page is copied much, that they are few."""
+    for host, part in enumerate((160, 180)):  # 80 and 90 % of 200 words, in lines of 20
+        for template in range(8):
+            frame = "\n".join(" ".join(f"frame{host}x{template}x{k}x{j}" for j in range(20)) for k in range(part // 20))
+            texts = [f"{frame}\n{body(1000 * template + i, 200 - part)}" for i in range(25)]
+            df = docs(texts, source=f"{host} {template}")
+            everything = df if not (host or template) else everything.unionByName(df)
+    got = quality_rules(everything).collect()
+    assert len(got) == 400 and all(not r.base_failed and not r.kept and r.n_removed in (160, 180) for r in got)
+    frame = " ".join(f"frame{k}" for k in range(40))
+    copied = quality_rules(docs([f"{frame}\n{body(i)}" for i in range(20)] + [f"{frame}\n{body(99)}"] * 60)).collect()
+    assert all(r.kept and r.n_removed == 40 for r in copied)
+    few = quality_rules(docs([f"{frame}\n{body(i)}" for i in range(18)] + [f"{frame}\n{body(99)}"] * 60)).collect()
+    assert all(r.kept and r.n_removed == 0 for r in few)
+
+
 def test_lines_count_by_host(docs):
     frame = " ".join(f"frame{k}" for k in range(40))
     parts = [docs([f"{frame}\n{body(100 * h + i)}" for i in range(15)], source=f"host{h}") for h in range(2)]

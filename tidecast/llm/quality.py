@@ -20,10 +20,8 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 WINDOW = 3
 SHINGLE = 5
-#: A line of a host is a template from so many different documents on ...
+#: A line of a host is a template from so many different documents on.
 LEAST_DOCUMENTS = 20
-#: ... if these are such a part of all documents that hold it; else it is part of one text that was copied.
-LEAST_DIFFERENT = 0.5
 #: The part of its words that a document must keep.
 LEAST_LEFT = 0.3
 MASK = (1 << 63) - 1
@@ -43,15 +41,13 @@ def repeated(ids: np.ndarray, distinct: int) -> int:
 
 
 def signature(hashes: np.ndarray) -> int:
-    """The least hash of the five-word shingles: near copies of a document mostly share it, others do not."""
-    mixed = hashes.astype(np.uint64)
-    if len(mixed) >= SHINGLE:
-        n, out = len(mixed) - SHINGLE + 1, np.zeros(len(mixed) - SHINGLE + 1, np.uint64)
-        for i in range(SHINGLE):
-            out = (out ^ mixed[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        mixed = out
-    return int(mixed.min()) & MASK if len(mixed) else 0
+    """The least hash of a line's five-word shingles: near copies of it mostly share it. A shorter line is one shingle."""
+    n = max(1, len(hashes) - SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(SHINGLE, len(hashes))):
+        out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return int(out.min()) & MASK
 
 
 def line_key(host: str, line: str) -> int | None:
@@ -67,38 +63,40 @@ def measure(text: str | None, host: str | None) -> dict:
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
     seen: set[str] = set()
-    copies, lines = 0, {}
+    copies, lines, at = 0, {}, 0
+    hashes = np.fromiter((crc32(w) for w in number), np.uint64, len(number))[ids]
     for line in text.split("\n"):
         if not line.strip(SPACES):
             continue
         copies += line in seen
         seen.add(line)
+        n = len(line.encode().split())
         if (key := line_key(host, line)) is not None:
-            lines[key] = lines.get(key, 0) + len(line.encode().split())
-    hashes = np.fromiter((crc32(w) for w in number), np.uint64, len(number))
+            if key not in lines:
+                lines[key] = [0, signature(hashes[at : at + n])]
+            lines[key][0] += n
+        at += n
     return {
         "n_words": len(words),
         "word_chars": len(text) - sum(map(text.count, SPACES)),
         "n_symbols": sum(map(text.count, SYMBOLS)),
         "n_dup_lines": copies,
         "n_repeat_words": repeated(ids, len(number)),
-        "sig": signature(hashes[ids]),
-        "lines": [{"key": k, "words": n} for k, n in lines.items()],
+        "text": xxhash.xxh3_64_intdigest(raw) & MASK,
+        "lines": [{"key": k, "words": n, "sig": sig} for k, (n, sig) in lines.items()],
     }
 
 
 MEASURES = T.StructType(
     [
-        *(T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sig")),
-        T.StructField(
-            "lines", T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("words", T.LongType())]))
-        ),
+        *(T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text")),
+        T.StructField("lines", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("key", "words", "sig")]))),
     ]
 )
 MEASURED = pa.struct(
     [
-        *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "sig")),
-        ("lines", pa.list_(pa.struct([("key", pa.int64()), ("words", pa.int64())]))),
+        *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text")),
+        ("lines", pa.list_(pa.struct([(n, pa.int64()) for n in ("key", "words", "sig")]))),
     ]
 )
 
@@ -110,7 +108,6 @@ def quality_rules(
     host_col: str = "source",
     keep_text: bool = False,
     least_documents: int = LEAST_DOCUMENTS,
-    least_different: float = LEAST_DIFFERENT,
     least_left: float = LEAST_LEFT,
 ) -> DataFrame:
     """The columns of ``df`` (without its text and host unless ``keep_text``) in the struct ``row``, and its verdict.
@@ -118,12 +115,13 @@ def quality_rules(
     ``quality`` holds the measures of the text; ``base_failed``; ``n_removed``, the words of lines above the limit, and
     their keys ``removed``; ``kept``.
 
-    Each line is hashed in lower case with single spaces, together with its host. For each such hash the documents
-    that hold it are counted, and how many different ones they are: documents with the same least hash of their
-    five-word shingles count once, so that the lines of a text copied many times are not taken for a template. A line
-    in ``least_documents`` different documents of a host, which are ``least_different`` of all that hold it, is over
-    the limit. A document that keeps less than ``least_left`` of its words without such lines is rejected, as is one
-    that fails the base rules.
+    Each line is hashed in lower case with single spaces, together with its host. A line that fewer than
+    ``least_documents`` rows hold is its document's own. For each other line the different documents that hold it are
+    counted: those whose own lines have the same least hashes of five-word shingles count once, as do equal texts
+    without own lines. So copies of a text add nothing, and lines of a template, however much of the text they are,
+    do not decide which documents are different. Near copies whose changes stand in different lines do count as
+    different. A line in ``least_documents`` different documents of a host is over the limit. A document that keeps
+    less than ``least_left`` of its words without such lines is rejected, as is one that fails the base rules.
 
     A row stands for itself: repeated rows and ids are each judged. A null text is empty; a null host is a host of
     its own. Measures are stored once; hot lines are summed up where they are read, and if the lines over the limit
@@ -142,18 +140,27 @@ def quality_rules(
     schema = T.StructType([T.StructField("row", source.schema[row].dataType), T.StructField("quality", MEASURES)])
     measured = map_batches(source, run, schema)
     measured = stored(measured.withColumn("rid", F.monotonically_increasing_id()), "lines")
+    lines = measured.select("rid", F.col("quality.text").alias("text"), F.explode("quality.lines").alias("line")).select("rid", "text", "line.*")
+    common = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents).select("key", F.lit(True).alias("common"))
+    own = F.array_sort(F.collect_set(F.when(F.col("common").isNull(), F.col("sig"))))
+    held = (
+        lines.join(small(stored(common, "common")), "key", "left")
+        .groupBy("rid", "text")
+        .agg(own.alias("own"), F.collect_list(F.when(F.col("common"), F.struct("key", "words"))).alias("shared"))
+        .where(F.size("shared") > 0)
+        .select("rid", F.when(F.size("own") > 0, F.xxhash64("own")).otherwise(F.col("text")).alias("sig"), "shared")
+    )
+    shared = stored(held, "shared").select("rid", "sig", F.explode("shared").alias("line")).select("rid", "sig", "line.*")
     frequent = (
-        measured.select(F.explode("quality.lines.key").alias("key"), F.col("quality.sig").alias("sig"))
-        .groupBy("key", "sig")
-        .agg(F.count(F.lit(1)).alias("n"))
+        shared.groupBy("key", "sig")
+        .agg(F.lit(1).alias("one"))
         .groupBy("key")
-        .agg(F.sum("n").alias("documents"), F.count(F.lit(1)).alias("different"))
-        .where((F.col("different") >= least_documents) & (F.col("different") >= least_different * F.col("documents")))
+        .agg(F.count(F.lit(1)).alias("different"))
+        .where(F.col("different") >= least_documents)
         .select("key")
     )
-    lines = measured.select("rid", F.explode("quality.lines").alias("line")).select("rid", "line.key", "line.words")
     removed = (
-        lines.join(small(stored(frequent, "frequent")), "key")
+        shared.join(small(stored(frequent, "frequent")), "key")
         .groupBy("rid")
         .agg(F.sum("words").alias("n_removed"), F.collect_list("key").alias("removed"))
     )
@@ -162,7 +169,7 @@ def quality_rules(
     gone = F.coalesce("n_removed", F.lit(0))
     return measured.join(removed, "rid", "left").select(
         "row",
-        q.dropFields("sig", "lines").alias("quality"),
+        q.dropFields("text", "lines").alias("quality"),
         failed.alias("base_failed"),
         gone.alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"),
