@@ -73,5 +73,28 @@ def test_redaction(spark, docs):
     ]
 
 
+def test_no_key_material_is_left(spark, docs):
+    line = "MIIEvQ/+" * 8
+    key = "\n".join([line] * 400 + ["Qw=="])
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    block = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v1\n\n{}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----"
+    whole = {
+        f"a {head}\n{key}\n{end} z": "a [pem] z",
+        f"a {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123\n\n{key}\n{end}\nz": "a [pem]\nz",
+        f"a {block.format(key)} z": "a [pem] z",
+        f'a "{head}\\n{line}\\nQw==\\n{end}\\n" z': 'a "[pem]\\n" z',
+        f"a {head}\n{key}\nand so on": "a [pem]\nand so on",
+        f"a {head} {line} {line} and so on": "a [pem] and so on",
+        f"a {head}\nProc-Type: 4,ENCRYPTED\n\n{line}\nMIIE": "a [pem]",
+        f"a {head}\n{line}\n{head}\n{key}\n{end} z": "a [pem]\n[pem] z",
+        f"a {head} marks a key, {end} its end": "a [pem] its end",
+        f"a {head} marks a key": "a [pem] marks a key",
+    }
+    out = {r.doc_id: r.text for r in secret_stage(spark, docs(list(whole)), "").collect()}
+    assert [out[i] for i in range(len(whole))] == list(whole.values())
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in scan(docs(list(whole))).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(whole)}
+
+
 def test_empty_table(docs, spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -40,9 +40,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", least=18),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+#: A private key in armour: from its first line to its last if no other such line is between; without a last line,
+#: its headers and the base64 run. Possessive, so that long keys need no stack.
+_KEY = r"[A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+_HEADERS = r"(?:[ \t\r\n>]*+(?:Proc-Type|DEK-Info|Version|Comment|MessageID|Hash|Charset): [^\n\\]{0,200}+)*+"
+_BODY = (
+    r"""(?:(?:\\[rnt]|[ \t\r\n"'`>|,;#*])*+[A-Za-z0-9+/=]{20,}+"""
+    r"""|[ \t\r>]*+(?:\n|\\n)[ \t>]*+[A-Za-z0-9+/=]++(?=[ \t\r]*+(?![^\n"'\\])))*+"""
+)
+PEM = rf"-----BEGIN {_KEY}(?:(?:[^-]++|-(?!----))*+-----END {_KEY}|{_HEADERS}{_BODY})"
 #: Kinds that the method adds.
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("hub", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35}"),
