@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 
-from conftest import rows
+from plain_rows import rows
 from tidecast.models import (
     LeastSquares,
     Passthrough,

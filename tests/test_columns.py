@@ -1,7 +1,7 @@
 import pytest
 from pyspark.errors import AnalysisException, PySparkException
 
-from conftest import rows
+from plain_rows import rows
 from tidecast.operators import (
     Chain,
     Checkpointer,

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from conftest import rows
+from plain_rows import rows
 from tidecast.operators import TriangleEventEncoder
 
 START = dt.date(2016, 1, 1)

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from conftest import rows
+from plain_rows import rows
 from tidecast.operators import CreateFutureSet, DateFeatures, Densify, MeltDataFrame, PivotForecasts
 
 D = dt.date

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from conftest import rows
+from plain_rows import rows
 from tidecast.operators import TargetEncoder
 
 START = dt.date(2020, 1, 1)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.errors import AnalysisException
 
-from conftest import rows
+from plain_rows import rows
 from tidecast.operators import ColumnSelect, ColumnType, ConvertToDate, JoinDataFrame, MeltDataFrame, TargetEncoder
 from tidecast.sources import read_csv_strings, read_csv_typed, read_parquet, write_csv, write_parquet
 from tidecast.storage import scratch_path, shared_folder

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from conftest import rows
+from plain_rows import rows
 from tidecast.functions import Frequency, shift
 from tidecast.operators import TimeBasedSplit
 
