@@ -4,12 +4,14 @@ from zlib import crc32
 
 import public_tokenizers
 import pytest
+import zstandard
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from tidecast.llm import tokenfile as T
 from tidecast.llm.files import open_file
 from tidecast.llm.packing import Packer, Example, pack_documents
-from tidecast.llm.tokenizing import Encoder
+from tidecast.llm.tokenizing import Encoder, PieceEncoder
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
 
@@ -19,12 +21,31 @@ def test_encoder_equals_the_library(path):
     plain, r = Tokenizer.from_file(path), random.Random(1)
     texts = ["", "a  b", "a\n b  c", "it's 'S", "don't.x", "a.,b", "x\x1c y", "<|endoftext|> a", " lead", "trail ", "Σας ΣΑΣ. İx", "日本語 。x", "a\u0085b", "o'. 's"]
     texts += ["".join(r.choice("ab 'sStT.,!?\n\t 12éß́_-\x85 <|") for _ in range(r.randint(1, 25))) for _ in range(3000)]
-    held = Encoder(path, words_held=200)
+    held = Encoder(path, words_held=200, words_met=100)
     assert held.spell is not None
     for t in texts:
         assert held.bytes_of(t) == array("I", plain.encode(t, add_special_tokens=False).ids).tobytes(), t
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_specials_as_plain_text(path):
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    held = Encoder(path, plain_specials=True)
+    for t in ("<|endoftext|> a", " x<|endoftext|>", "<|startoftext|>y", "a <| b"):
+        assert held.bytes_of(t) == array("I", plain.encode(t, add_special_tokens=False).ids).tobytes(), t
+
+
+def test_piece_encoder_equals_the_library():
+    path, r = public_tokenizers.path("piece_bpe_32k.model"), random.Random(2)
+    held, plain = PieceEncoder(path, words_held=100, words_met=50), SentencePieceProcessor(model_file=path)
+    assert held.cut
+    texts = ["", " ", "  ", "a  b", " a", "a ", "▁", "▁ a▁b", "<s> </s> <unk> <0x41>", "日本 語", "\n\n a\tb", "１２ ﬁ", "e\u0301 \u3000x"]
+    texts += ["".join(r.choice("ab the sSTo.,!\n\t 12éß▁<> ") for _ in range(r.randint(1, 40))) for _ in range(3000)]
+    for t in texts:
+        assert held.bytes_of(t) == array("I", plain.encode(t, num_threads=1)).tobytes(), t
+
+
 def ids_of(path, text, end):
     return array("I", [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end]).tobytes()
 
@@ -61,10 +82,12 @@ def test_damage_is_noticed(docs, tmp_path):
     data = bytearray(open(path, "rb").read())
     reader = T.FrameReader(open_file(uri))
     assert len(reader.rows) >= 1
-    data[-20] ^= 1  # a checksum in the seek table
-    open(path, "wb").write(data)
-    with pytest.raises(ValueError, match="damaged"):
-        T.FrameReader(open_file(uri)).frame(len(reader.rows) - 1)
+    for place, what in ((-12, "table"), (-20, "table"), (-30, "table"), (10, "frame 0")):  # checksum, size and head of the table; ids
+        broken = bytearray(data)
+        broken[place] ^= 1
+        open(path, "wb").write(broken)
+        with pytest.raises((ValueError, zstandard.ZstdError), match=f"{what}|frame|decompress"):
+            T.FrameReader(open_file(uri)).frame(0)
 
 
 def sound(rows, texts, tokens, segments, prompt=None):

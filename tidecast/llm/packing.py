@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from struct import pack
 from zlib import crc32
@@ -102,6 +102,10 @@ class Packer:
             yield example, at
             at, segments, loss = at + example.tokens, segments + 1, loss + example.loss(example.tokens)
 
+    def whole(self, example: Example) -> bool:
+        """Whether an example fills a sequence by itself within the other limits."""
+        return example.tokens == self.tokens and example.loss(example.tokens) <= self.loss
+
     def sequences(self, *, end: bool) -> Iterator[list[tuple[Example, int]]]:
         """Sequences while the pool is full; at the end, until it is empty."""
         while self.used > (0 if end else self.full):
@@ -144,9 +148,9 @@ def pack_documents(
         encode, packer, end = encoder(tokenizer), Packer(tokens, segments, loss), pack("<I", end_id)
         number, out, id_type = TaskContext.get().partitionId() << 32, [], None
 
-        def placed(last: bool) -> None:
+        def placed(sequences: Iterable[list[tuple[Example, int]]]) -> None:
             nonlocal number
-            for sequence in packer.sequences(end=last):
+            for sequence in sequences:
                 for e, offset in sequence:
                     row = (e.row, e.start, e.tokens, crc32(e.ids), e.row_tokens, number, offset)
                     out.append((*row, e.ids) if with_ids else row)
@@ -164,11 +168,14 @@ def pack_documents(
                 head = encode.bytes_of(lead.as_py())
                 ids = head + encode.bytes_of(text.as_py()) + end
                 for part in Example(row.as_py(), ids, len(head) // 4, 0, len(ids) // 4).parts(tokens):
-                    packer.add(part)
-                    placed(False)
+                    if packer.whole(part):
+                        placed([[(part, 0)]])
+                    else:
+                        packer.add(part)
+                        placed(packer.sequences(end=False))
                 if len(out) >= 10_000:
                     yield made()
-        placed(True)
+        placed(packer.sequences(end=True))
         if out:
             yield made()
 

@@ -23,6 +23,8 @@ from tidecast.storage import scratch_path
 #: Bytes of ids in a frame before it is closed; a longer document takes several frames.
 FRAME_BYTES = 1 << 20
 FILE_BYTES = 256 << 20
+#: Bytes of ids that one task reads.
+READ_BYTES = 64 << 20
 #: Fixed values of the public seekable format: a skippable frame at the end, with a row for each frame.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 ROW, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
@@ -30,7 +32,10 @@ CHECKSUMS = 0x80
 
 
 class FrameWriter:
-    """Independent frames of ids, then the seek table: size before and after decompression and checksum of each."""
+    """Independent frames of ids, then the seek table: size before and after decompression and checksum of each.
+
+    A skippable frame before the seek table holds a checksum of the table itself.
+    """
 
     def __init__(self, stream, level: int = 3) -> None:
         self.stream, self.packer = stream, zstandard.ZstdCompressor(level=level)
@@ -60,7 +65,9 @@ class FrameWriter:
 
     def close(self) -> None:
         self.flush()
-        body = b"".join(ROW.pack(*r) for r in self.rows) + FOOTER.pack(len(self.rows), CHECKSUMS, SEEKABLE)
+        table_ = b"".join(ROW.pack(*r) for r in self.rows)
+        self.stream.write(struct.pack("<III", SKIPPABLE, 4, xxhash.xxh32_intdigest(table_)))
+        body = table_ + FOOTER.pack(len(self.rows), CHECKSUMS, SEEKABLE)
         self.stream.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
         self.stream.close()
 
@@ -73,11 +80,18 @@ class FrameReader:
         count, flags, magic = FOOTER.unpack(source.read_at(FOOTER.size, size - FOOTER.size))
         if magic != SEEKABLE or not flags & CHECKSUMS:
             raise ValueError("not a seekable file with checksums")
-        table_ = source.read_at(ROW.size * count, size - FOOTER.size - ROW.size * count)
+        length = ROW.size * count
+        ends = size - FOOTER.size - length - 20  # the checksum's frame and the head of the table's
+        if ends < 0:
+            raise ValueError("the seek table is damaged")
+        lead, table_ = source.read_at(20, ends), source.read_at(length, size - FOOTER.size - length)
+        heads = struct.pack("<III", SKIPPABLE, 4, xxhash.xxh32_intdigest(table_)) + struct.pack("<II", SKIPPABLE, length + FOOTER.size)
         self.rows, at = [], 0
         for packed, plain, check in ROW.iter_unpack(table_):
             self.rows.append((at, packed, plain, check))
             at += packed
+        if lead != heads or at != ends:
+            raise ValueError("the seek table is damaged")
         self.unpacker, self.last = zstandard.ZstdDecompressor(), (-1, b"")
 
     def frame(self, n: int) -> bytes:
@@ -152,7 +166,9 @@ def write_tokens(
 def read_tokens(index: DataFrame) -> DataFrame:
     """``index`` with ``ids``, the documents' ids as bytes, from those frames that hold them."""
     names = index.columns
-    sorted_ = index.repartitionByRange("file", "frame").sortWithinPartitions("file", "frame", "at")
+    ids = index.agg(F.sum("n_tokens")).first()[0] or 0
+    tasks = max(1, min(index.select("file", "frame").distinct().count(), -(-4 * ids // READ_BYTES)))
+    sorted_ = index.repartitionByRange(tasks, "file", "frame").sortWithinPartitions("file", "frame", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, reader = None, None
