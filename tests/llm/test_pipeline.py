@@ -18,7 +18,7 @@ def test_stages_keep_the_columns_of_documents(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
 
 
 def test_empty_table_through_all_stages(spark):
