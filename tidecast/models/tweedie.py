@@ -7,23 +7,26 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tidecast.models.base import TEMP, Forecaster, added, dropped, fitted, labelled, prepare
+from tidecast.models.histograms import Histograms, Node, bin_edges, searched
 from tidecast.storage import shared_folder
 
+#: Trees in one expression of the fitted model.
+TREES_TOGETHER = 10
+
 
 @dataclass(frozen=True)
 class TweedieBoostedTrees(Forecaster):
     """Newton boosting of regression trees for a non-negative target, log link.
 
-    Spark's own boosted trees know no Tweedie loss. Here each round fits one
-    Spark decision tree to the Newton step of every row, weighted by the second
-    derivative: the mean in a leaf is then the best step of that leaf. The
-    forecast is ``exp(start + rate * sum of trees)``.
+    Spark's own boosted trees know no Tweedie loss. Features are put into quantile bins once for each fit. A round grows
+    one tree from histograms: sums of the first and second derivative of the loss by node, feature and bin, one aggregate for
+    each level, from which the driver takes the splits. The best step of a leaf is minus the one sum by the other. The
+    forecast is ``exp(start + rate * sum of trees)``; the trees are SQL in the fitted pipeline.
     """
 
     rounds: int = 100
@@ -38,64 +41,67 @@ class TweedieBoostedTrees(Forecaster):
     def __post_init__(self) -> None:
         if not 1 < self.power < 2:
             raise ValueError(f"power must lie between 1 and 2, not {self.power}")
+        if not 2 <= self.bins <= 32_767:
+            raise ValueError(f"bins must be 2 to 32767, not {self.bins}")
 
     def fit(
         self, df: DataFrame, *, feature_cols: Sequence[str], target_col: str, output_col: str = "forecast"
     ) -> PipelineModel:
         shared_folder(df.sparkSession)
         rows = labelled(df, feature_cols, target_col)
-        label, score = F.col(TEMP + "label"), F.col(TEMP + "score")
         prep = prepare(rows, feature_cols)
         if prep.lowest_label < 0 or prep.mean_label <= 0:
             raise ValueError(f"Tweedie loss needs a non-negative {target_col} that is not all zero")
-        start = math.log(prep.mean_label)
-        tree = DecisionTreeRegressor(
-            featuresCol=prep.vector,
-            labelCol=TEMP + "step",
-            weightCol=TEMP + "weight",
-            maxDepth=self.depth,
-            maxBins=self.bins,
-            minInstancesPerNode=self.min_rows,
-            seed=self.seed,
-        )
-        stale, scored = None, (
-            fitted(prep.stages).transform(rows)
-            .select(prep.vector, label, F.lit(start).alias(TEMP + "score"))
-            .persist(StorageLevel.MEMORY_AND_DISK)
+        start, columns = math.log(prep.mean_label), [c for c in prep.temporary if c != prep.vector]
+        filled = prep.stages[0].transform(rows)
+        edges = bin_edges(filled, columns, self.bins)
+        score, label = TEMP + "score", TEMP + "label"
+        scored = filled.selectExpr(
+            *[f"CAST({searched(c, e)} AS SMALLINT) AS b{i}" for i, (c, e) in enumerate(zip(columns, edges))],
+            label,
+            f"{start!r}D AS {score}",
+        ).persist(StorageLevel.MEMORY_AND_DISK)
+        # First and second derivative of the loss in the log of the forecast.
+        long, short = f"exp({2 - self.power!r}D * {score})", f"{label} * exp({1 - self.power!r}D * {score})"
+        histograms = Histograms(
+            [len(e) + 1 for e in edges],
+            f"{long} - {short}",
+            f"{2 - self.power!r}D * {long} + {self.power - 1!r}D * {short}",
+            self.min_rows,
         )
-        trees = []
-        for i in range(self.rounds):
-            # First and second derivative of the loss in the log of the forecast.
-            short, long = F.exp((1 - self.power) * score), F.exp((2 - self.power) * score)
-            slope = long - label * short
-            bend = (2 - self.power) * long - (1 - self.power) * label * short
-            steps = scored.select("*", (-slope / bend).alias(TEMP + "step"), bend.alias(TEMP + "weight"))
-            model = tree.copy({tree.predictionCol: f"{TEMP}tree{i}"}).fit(steps)
-            trees.append(model)
-            if i + 1 == self.rounds:
-                break
-            moved = model.transform(scored).select(
-                prep.vector, label, (score + self.rate * F.col(f"{TEMP}tree{i}")).alias(TEMP + "score")
-            )
-            # Filled by the next fit's first pass; the round before is done with by then.
-            if stale is not None:
-                stale.unpersist()
-            stale = scored
-            if (i + 1) % self.checkpoint_every == 0:
-                # Keeps the plan, and what a lost executor costs, short.
-                moved = moved.checkpoint()
-            scored = moved.persist(StorageLevel.MEMORY_AND_DISK)
-        for kept in (stale, scored):
-            if kept is not None:
-                kept.unpersist()
+        trees: list[Node] = []
+        stale = None
+        try:
+            for i in range(self.rounds):
+                tree = histograms.grow(scored, self.depth)
+                trees.append(tree)
+                if not tree.children or i + 1 == self.rounds:
+                    break  # without a split no later round has one
+                step = tree.sql(lambda f, b: f"b{f} <= {b}", lambda n: f"{self.rate * n.step!r}D")
+                moved = scored.withColumn(score, F.expr(f"{score} + {step}"))
+                # Filled by the next level's aggregate; the round before is done with by then.
+                if stale is not None:
+                    stale.unpersist()
+                stale = scored
+                if (i + 1) % self.checkpoint_every == 0:
+                    # Keeps the plan, and what a lost executor costs, short.
+                    moved = moved.checkpoint()
+                scored = moved.persist(StorageLevel.MEMORY_AND_DISK)
+        finally:
+            for kept in (stale, scored):
+                if kept is not None:
+                    kept.unpersist()
+
+        def told(tree: Node) -> str:
+            return tree.sql(lambda f, b: f"{columns[f]} <= {edges[f][b]!r}D", lambda n: f"{n.step!r}D")
 
-        outputs = [f"{TEMP}tree{i}" for i in range(self.rounds)]
-        total = " + ".join(outputs)
+        parts = [trees[i : i + TREES_TOGETHER] for i in range(0, len(trees), TREES_TOGETHER)]
+        outputs = [f"{TEMP}trees{i}" for i in range(len(parts))]
         return fitted(
             [
-                *prep.stages,
-                *trees,
-                added(f"exp({start!r}D + {self.rate!r}D * ({total}))", output_col),
-                dropped([*prep.temporary, *outputs]),
+                prep.stages[0],
+                *[added(" + ".join(map(told, part)), name) for part, name in zip(parts, outputs)],
+                added(f"exp({start!r}D + {self.rate!r}D * ({' + '.join(outputs)}))", output_col),
+                dropped([*columns, *outputs]),
             ]
         )
