@@ -39,7 +39,7 @@ def classes(texts, similarity=0.8):
 
     for i in range(len(texts)):
         for j in range(i):
-            if (texts[i] or "") == (texts[j] or "") or (len(sets[i][0]) and jaccard(sets[i], sets[j]) >= similarity):
+            if (texts[i] or "") == (texts[j] or "") or (len(sets[i][0]) and M.probability_jaccard(sets[i], sets[j]) >= similarity):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return [root(i) for i in range(len(texts))]
@@ -104,3 +104,44 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 50), (100, 60), (7, 7)], "a long, b long")
     got = dict(map(tuple, components(links).collect()))
     assert got == {**dict.fromkeys(range(21), 0), 50: 50, 60: 50, 100: 50}
+
+
+def test_many_against_one_by_definition():
+    """The way that holds a text against many at once, with and without repeated shingles."""
+    r = random.Random(9)
+    base = vocabulary(11, 60)
+    texts = [" ".join(edited(base, s, r.randint(0, 3))) for s in range(25)]
+    texts += [" ".join(edited(base + base[: r.randint(5, 50)], 50 + s, r.randint(0, 3))) for s in range(25)]
+    texts += [" ".join(base[: 30 + s] * r.randint(1, 3)) for s in range(10)]
+    sets = [M.weighted_shingles([t])[:2] for t in texts]
+    made = list(M.shingles_of(texts))
+    part = M.Part([np.frombuffer(h, np.uint64) for h, _ in made], [None if w is None else np.frombuffer(w, float) for _, w in made])
+    assert any(w is None for _, w in made) and any(w is not None for _, w in made)
+    for i in range(len(texts)):
+        others = np.array([j for j in range(len(texts)) if j != i])
+        want = [jaccard(sets[i], sets[j]) >= 0.8 for j in others]
+        assert part.similar(i, others, 0.8).tolist() == want
+
+
+def test_recall_and_bounded_work(docs, monkeypatch):
+    """A group of copies with a few changed words each: nearly all similar pairs end in one class, no pair is worked out twice."""
+    base = vocabulary(21, 150)
+    texts = [" ".join(edited(base, s, 1 + s % 4)) for s in range(120)] + [" ".join(vocabulary(1000 + s, 150)) for s in range(80)]
+    sets = [M.weighted_shingles([t])[:2] for t in texts]
+    alike = [(i, j) for i in range(120) for j in range(i) if M.probability_jaccard(sets[i], sets[j]) >= 0.8]
+    found = {r.doc_id: r.class_id for r in M.near_duplicates(docs(texts)).collect()}
+    assert len(alike) > 100 and sum(found[i] == found[j] for i, j in alike) >= 0.99 * len(alike)
+    assert all(found[i] == i for i in range(120, 200))
+    assert [found[i] for i in range(len(texts))] == classes(texts)
+
+
+def test_first_shared_band_decides():
+    texts = ["a b c d e f g h", "a b c d e f g h", "a b c d e f g i"]
+    made = list(M.shingles_of(texts))
+    part = M.Part([np.frombuffer(h, np.uint64) for h, _ in made], [None] * 3)
+    sigs, keys = np.zeros((3, 4), np.uint8), np.array([[1, 9], [1, 9], [2, 9]])
+    asked = []
+    monkey = lambda i, others, s: asked.append((i, others.tolist())) or np.zeros(len(others), bool)
+    part.similar = monkey
+    list(M.group_links([0, 1, 2], [0, 1, 2], [True] * 3, sigs, keys, 1, part, 0.8))
+    assert asked == [(0, [2]), (1, [2])]

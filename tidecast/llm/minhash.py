@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,8 +19,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 36, 7
 #: Six standard deviations of a similarity estimated from 252 places: pairs below are not worked out exactly.
 MARGIN = 0.15
-#: Members of a bucket that one task takes, and those that all parts of a larger one share.
-BUCKET_ROWS, SHARED_ROWS = 512, 8
+#: Texts of each side that are held against each other in one task.
+BUCKET_ROWS = 512
 #: Words that are worked on together.
 CHUNK = 300_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -122,6 +121,14 @@ def signed(texts: list[str | None], bands: int = BANDS, rows: int = ROWS) -> Ite
         yield (keys if any_ else []), sig.tobytes()
 
 
+def shingles_of(texts: list[str | None]) -> Iterator[tuple[bytes, bytes | None]]:
+    """Hashes and weights of each text's distinct shingles; no weights where all are 1."""
+    element, weight, doc = weighted_shingles(texts)
+    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for i, j in zip(ends[:-1], ends[1:], strict=True):
+        yield element[i:j].tobytes(), None if (weight[i:j] == 1).all() else weight[i:j].tobytes()
+
+
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The sum, over elements x of both, of 1 / sum over all z of max(a[z] / a[x], b[z] / b[x]). Two empty ones: 1."""
     if not len(a[0]) or not len(b[0]):
@@ -140,50 +147,81 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1.0 / (above[last][x] / p[x] + below[last][x] / q[x])).sum())
 
 
-class Shingles:
-    """Shingles of the texts seen last."""
-
-    def __init__(self, most: int = 64) -> None:
-        self.most, self.held = most, OrderedDict()
-
-    def of(self, name: int, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        if name not in self.held:
-            self.held[name] = weighted_shingles([text])[:2]
-            if len(self.held) > self.most:
-                self.held.popitem(last=False)
-        self.held.move_to_end(name)
-        return self.held[name]
-
-
-def group_links(rid: list[int], label: list[int], probe: list[bool], sigs: np.ndarray, texts: list[str], similarity: float) -> Iterator[tuple[int, int]]:
+class Part:
+    """The shingles of the texts that are held against each other in one task, with one number for each shingle."""
+
+    def __init__(self, hashes: list[np.ndarray], weights: list[np.ndarray | None]) -> None:
+        self.hashes, self.weights = hashes, weights
+        self.sizes = np.array([len(h) for h in hashes], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.once = np.array([w is None for w in weights])
+        all_ = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        known, self.number = np.unique(all_, return_inverse=True)
+        self.share = np.concatenate([np.full(len(h), 1 / max(1, len(h))) if w is None else w / w.sum() for h, w in zip(hashes, weights, strict=True)])
+        self.mine = np.zeros(len(known))
+
+    def weighted(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.hashes[i], np.ones(len(self.hashes[i])) if self.weights[i] is None else self.weights[i]
+
+    def similar(self, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of ``others`` text ``i`` is similar to.
+
+        Where no shingle of either text repeats, the similarity is common shingles by all shingles. Elsewhere the sum
+        ``s`` of the lesser shares bounds it: it is at most ``s`` and at least ``s / (2 - s)``; only what that leaves open is worked
+        out pair by pair.
+        """
+        own = slice(self.starts[i], self.starts[i] + self.sizes[i])
+        self.mine[self.number[own]] = self.share[own]
+        sizes = self.sizes[others]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[others] - (ends - sizes), sizes)
+        theirs, mine = self.share[at], self.mine[self.number[at]]
+        first = ends - sizes
+        common, least = np.add.reduceat(mine > 0, first, dtype=np.int64), np.add.reduceat(np.minimum(mine, theirs), first)
+        self.mine[self.number[own]] = 0.0
+        plain = self.once[others] & self.once[i]
+        found = np.where(plain, common / (self.sizes[i] + sizes - common) >= similarity, least / (2 - least) >= similarity + 1e-9)
+        for k in np.flatnonzero(~plain & ~found & (least >= similarity - 1e-9)):
+            found[k] = probability_jaccard(self.weighted(i), self.weighted(others[k])) >= similarity
+        return found
+
+
+def group_links(
+    rid: list[int], label: list[int], probe: list[bool], sigs: np.ndarray, keys: np.ndarray, band: int, part: Part, similarity: float
+) -> Iterator[tuple[int, int]]:
     """Links that join all similar texts of a group which has a probe on one side at least.
 
-    Texts of one label are joined already. Each probe is held against all texts that it is not joined with yet: by
-    the signatures first, then exactly.
+    Texts of one label are joined already. Each probe is held against all texts that it is not joined with yet, by the
+    signatures first, then exactly; of two probes only the first. Pairs that share one of the first ``band`` band keys
+    are left to the group of that key.
     """
-    held, comp = Shingles(4096), np.unique(np.array(label), return_inverse=True)[1]
-    for i in np.flatnonzero(probe):
-        apart = np.flatnonzero(comp != comp[i])
-        if not len(apart):
+    comp, probes = np.unique(np.array(label), return_inverse=True)[1], np.array(probe)
+    places = np.arange(len(rid))
+    for i in np.flatnonzero(probes):
+        rest = np.flatnonzero((comp != comp[i]) & ~(probes & (places < i)))
+        rest = rest[(sigs[rest] == sigs[i]).mean(1) >= similarity - MARGIN]
+        if band and len(rest):
+            rest = rest[~(keys[rest, :band] == keys[i, :band]).any(1)]
+        if not len(rest):
             continue
-        likely = apart[(sigs[apart] == sigs[i]).mean(1) >= similarity - MARGIN]
-        for j in likely:
-            if comp[i] != comp[j] and probability_jaccard(held.of(i, texts[i]), held.of(j, texts[j])) >= similarity:
+        for j in rest[part.similar(i, rest, similarity)]:
+            if comp[i] != comp[j]:
                 comp[comp == comp[j]] = comp[i]
                 yield rid[i], rid[j]
 
 
 def links_in(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links ``a, b`` within each ``bucket, part`` of ``rows`` (and ``rid, label, probe``), each in one task."""
+    """Links ``a, b`` within each ``bucket, band, part`` of ``rows`` (and ``rid, label, probe``), each in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held, out = None, [[] for _ in range(5)], []
+        name, held, out = None, [[] for _ in range(7)], []
 
         def close() -> None:
             if len(held[0]) > 1:
-                rid, label, probe, sig, text = held
+                rid, label, probe, sig, keys, hashes, weights = held
                 sigs = np.frombuffer(b"".join(sig), np.uint8).reshape(len(rid), -1)
-                out.extend(group_links(rid, label, probe, sigs, text, similarity))
+                part = Part([np.frombuffer(h, np.uint64) for h in hashes], [None if w is None else np.frombuffer(w, float) for w in weights])
+                out.extend(group_links(rid, label, probe, sigs, np.array(keys), name[1], part, similarity))
             for x in held:
                 x.clear()
 
@@ -194,10 +232,10 @@ def links_in(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
         for batch in batches:
             for i in range(len(batch)):
-                bucket, part, *row = (c[i].as_py() for c in batch.columns)
-                if (bucket, part) != name:
+                bucket, band, part, *row = (c[i].as_py() for c in batch.columns)
+                if (bucket, band, part) != name:
                     close()
-                    name = bucket, part
+                    name = bucket, band, part
                 for x, v in zip(held, row, strict=True):
                     x.append(v)
             if len(out) > 10_000:
@@ -205,51 +243,55 @@ def links_in(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         close()
         yield made()
 
-    whole = rows.join(texts, "rid").select("bucket", "part", "rid", "label", "probe", "sig", "text")
-    return map_arrow(whole.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "rid"), run, "a long, b long")
+    whole = rows.join(texts, "rid").select("bucket", "band", "part", "rid", "label", "probe", "sig", "bands", "hashes", "weights")
+    dealt = whole.repartition("bucket", "band", "part").sortWithinPartitions("bucket", "band", "part", "rid")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def similar_classes(shared: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``node, label`` of all texts that are similar to another in some bucket of ``shared`` (``bucket, rid``).
+    """``node, label`` of all texts that are similar to another in some bucket of ``shared`` (``bucket, band, rid``).
+
+    First each text of a bucket is held against the bucket's leader, the text of the least hash. Texts that share many
+    buckets mostly share their leader, and each pair is worked out once. That joins nearly all of a large group of copies.
 
-    A bucket goes to one task, in which texts are held against each other until they are joined. A bucket of more
-    than ``BUCKET_ROWS`` is dealt into parts of about that size, each with a few texts that all its parts share.
-    That joins nearly all of a large group of copies. Texts of such a bucket that are then not in its largest
-    class are held against all its parts, a part of them at a time. So each similar pair of a bucket is joined, and
-    no bucket is spread into all its pairs.
+    Then buckets whose texts are still in several classes are gone through: those outside the bucket's largest class are
+    held against all others, in parts of about ``BUCKET_ROWS`` of both sides, each pair only in the first band that both
+    share. So each similar pair of a bucket is joined, no pair is worked out twice in this step, and no bucket is spread into
+    all its pairs.
     """
-    sample = [F.min_by("rid", F.xxhash64("rid", F.lit(i))) for i in range(SHARED_ROWS)]
-    sizes = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*sample)).alias("leaders"))
-    sizes = stored(sizes.where(F.col("n") > BUCKET_ROWS).withColumn("parts", F.ceil(F.col("n") / BUCKET_ROWS).cast("int")), "sizes")
-    large = not sizes.isEmpty()
-    sizes = small(sizes, 50_000)
-    parted = shared.join(sizes, "bucket", "left") if large else shared.withColumn("parts", F.lit(None).cast("int"))
-    dealt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rid", "bucket"), F.col("parts"))).cast("int")
-    rows = parted.select("bucket", dealt.alias("part"), "rid")
-    if large:
-        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        lead = sizes.select("bucket", every.alias("part"), "leaders").select("bucket", "part", F.explode("leaders").alias("rid"))
-        rows = rows.unionByName(lead).distinct()
-    links = stored(links_in(rows.select("*", F.col("rid").alias("label"), F.lit(True).alias("probe")), texts, similarity), "links")
+    leaders = shared.groupBy("bucket").agg(F.min_by("rid", F.xxhash64("rid")).alias("leader"))
+    pairs = stored(shared.join(leaders, "bucket").where("rid != leader").select("leader", "rid").distinct(), "followers")
+    sizes = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("parts"))
+    salted = pairs.join(sizes.where("parts > 1"), "leader", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part")
+    followers = salted.select(F.col("leader").alias("bucket"), part, "rid", F.lit(False).alias("probe"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    stars = followers.unionByName(sizes.select(F.col("leader").alias("bucket"), every, F.col("leader").alias("rid"), F.lit(True).alias("probe")))
+    stars = stars.withColumn("label", F.col("rid")).withColumn("band", F.lit(0))
+    links = stored(links_in(stars, texts, similarity), "links")
     labels = components(links)
-    if not large:
-        return labels
-    members = shared.join(sizes, "bucket").join(labels, F.col("rid") == F.col("node"), "left")
-    members = stored(members.select("bucket", "parts", "rid", F.coalesce("label", "rid").alias("label")), "members")
+
+    members = shared.join(labels, F.col("rid") == F.col("node"), "left").select("bucket", "band", "rid", F.coalesce("label", "rid").alias("label"))
+    members = stored(members, "members")
     mains = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")
     )
-    mains = stored(mains.where("n > most").withColumn("shares", F.ceil((F.col("n") - F.col("most")) / BUCKET_ROWS).cast("int")), "mains")
+    # of two texts one is the leader, so that their pair is done
+    mains = mains.where("n > most and n > 2").select(
+        "bucket", "main", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("most")) / BUCKET_ROWS).cast("int").alias("shares")
+    )
+    mains = stored(mains, "mains")
     if mains.isEmpty():
         return labels
-    open_ = members.join(small(mains, 50_000), "bucket")
+    open_ = members.join(small(mains), "bucket")
     place = F.pmod(F.xxhash64("rid", "bucket"), F.col("parts")).cast("int")
     share = F.pmod(F.xxhash64("bucket", "rid"), F.col("shares")).cast("int")
-    against = open_.select("bucket", "rid", "label", place.alias("p"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("s"), "shares")
+    names = ["bucket", "band", "rid", "label"]
+    against = open_.select(*names, place.alias("p"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("s"), "shares")
     left = open_.where("label != main")
-    probes = left.select("bucket", "rid", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), share.alias("s"), "shares")
+    probes = left.select(*names, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), share.alias("s"), "shares")
     both = against.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True)))
-    again = both.groupBy("bucket", (F.col("p").cast("long") * F.col("shares") + F.col("s")).alias("part"), "rid", "label").agg(F.max("probe").alias("probe"))
+    again = both.groupBy(*names, (F.col("p").cast("long") * F.col("shares") + F.col("s")).alias("part")).agg(F.max("probe").alias("probe"))
     more = stored(links_in(again, texts, similarity), "links")
     if more.isEmpty():
         return labels
@@ -285,6 +327,10 @@ def near_duplicates(
         keys, sigs = pa.array([k for k, _ in made], pa.list_(pa.int64())), pa.array([s for _, s in made], pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns[:4], keys, sigs], names=["id", "rid", "k1", "k2", "bands", "sig"])
 
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [p for part in chunks(t.as_py() for t in batch.column(1)) for p in shingles_of(part)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in zip(*made, strict=True))], names=["rid", "hashes", "weights"])
+
     kind = df.schema[id_col].dataType.simpleString()
     marked = map_batches(source, run, f"id {kind}, rid long, k1 long, k2 int, bands array<bigint>, sig binary")
     if row_col is None:
@@ -296,16 +342,16 @@ def near_duplicates(
         .select("k1", "k2", F.col("x.first.rid").alias("rid"), F.col("x.first").alias("first"), "x.bands", "x.sig"),
         "distinct",
     )
-    banded = distinct.select("rid", F.explode("bands").alias("bucket"))
-    # buckets with the same members count once
+    banded = distinct.select("rid", F.posexplode("bands").alias("band", "bucket"))
+    # buckets with the same members count once, in their first band
     members = banded.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rid", F.lit(1)).cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("rid")).alias("xor")
+        F.min("band").alias("band"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rid", F.lit(1)).cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("rid")).alias("xor")
     ).where("n > 1")
-    full = members.groupBy("n", "sum", "xor").agg(F.min("bucket").alias("bucket")).select("bucket")
+    full = members.groupBy("n", "sum", "xor").agg(F.min_by("bucket", F.struct("band", "bucket")).alias("bucket")).select("bucket")
     shared = stored(banded.join(stored(full, "buckets"), "bucket"), "shared")
-    wanted = stored(distinct.join(shared.select("rid").distinct(), "rid").select("rid", "k1", "k2", "sig"), "wanted")
-    texts = source.drop("rid").join(small(wanted.drop("sig")), ["k1", "k2"]).groupBy("rid").agg(F.first("text").alias("text"))
-    texts = stored(texts.join(wanted.select("rid", "sig"), "rid"), "texts")
+    wanted = stored(distinct.join(shared.select("rid").distinct(), "rid").select("rid", "k1", "k2", "sig", "bands"), "wanted")
+    texts = source.drop("rid").join(small(wanted.drop("sig", "bands")), ["k1", "k2"]).groupBy("rid").agg(F.first("text").alias("text"))
+    texts = stored(map_batches(texts, cut, "rid long, hashes binary, weights binary").join(wanted.drop("k1", "k2"), "rid"), "texts")
     labels = similar_classes(shared, texts, similarity)
     firsts = distinct.select(F.col("rid").alias("node"), "first")
     roots = stored(
