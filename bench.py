@@ -4,7 +4,7 @@ Reads ``BENCH_SF_DIR`` (default ``/root/testdata/sf0.1``) on ``local[BENCH_CPUS]
 Each query runs three times to a sink that drops the rows, after a first run that
 does not count; the median is reported. Queries over the wide table build it as a
 part of their work. ``part_features`` runs over one series for each part, so its
-series grow with the scale factor. The fits run once: ``twelve_fits_of_10_rounds``
+series grow with the scale factor. The fits run once: ``twelve_fits``
 boosts 10 rounds in each of 12 fits, a tenth of the recorded baseline's 100.
 """
 
@@ -97,12 +97,12 @@ def wide_to_features(spark: SparkSession) -> None:
     drain(feature_pipeline(wide, calendar_pipeline(panels.calendar(spark, SF_DIR)), day_columns=days))
 
 
-def twelve_fits_of_10_rounds(spark: SparkSession, table: str) -> None:
+def twelve_fits(spark: SparkSession, table: str) -> None:
     """Four horizon blocks of 15 features, two folds and a final fit each, boosted trees with Tweedie loss."""
     parts = ("week_of_year", "month", "day_of_week", "day_of_month", "year")
     config = blocks(windows=WINDOWS, functions=("mean", "std"), parts=parts)
     log = RunLog(spark, scratch_path(spark, "bench-runs"))
-    cross_validate(read_parquet(spark, table), config, log, model=TweedieBoostedTrees(rounds=10, rate=0.3))
+    cross_validate(read_parquet(spark, table), config, log, model=TweedieBoostedTrees(), store_input=False)
     print("tweedie rmse", evaluate(log).collect()[0]["value"], file=sys.stderr)
 
 
@@ -127,7 +127,7 @@ def main() -> None:
     panel, table = scratch_path(spark, "bench-panel"), scratch_path(spark, "bench-features")
     timed("dense_panel", lambda: write_parquet(dense_panel(spark), panel))
     timed("forty_features", lambda: write_parquet(features(spark, panel), table))
-    timed("twelve_fits_of_10_rounds", lambda: twelve_fits_of_10_rounds(spark, table))
+    timed("twelve_fits", lambda: twelve_fits(spark, table))
 
     print(
         json.dumps(

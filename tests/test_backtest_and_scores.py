@@ -256,3 +256,53 @@ def test_run_log_tells_what_was_done(spark, path):
     assert spark.read.option("header", True).csv(log.artifact("r", "cv/forecast")).count() == 4
     evaluate(log)
     assert log.fold_metric("r").count() == 1
+
+
+def test_all_linear_fits_come_from_one_aggregate(spark, panel, monkeypatch):
+    """Folds with a lower bound, sets of features that overlap, gaps: each equals a fit to its own rows."""
+    import numpy as np
+
+    from tidecast.models import TrainingRange, gram
+
+    table = panel.selectExpr("*", "CASE WHEN sales > 20 THEN sin(sales * 3) * 1e4 + 1e6 END AS wave", "sales + cos(day(date)) AS noisy").cache()
+    ranges = [
+        TrainingRange(("x_lag_28_mean",), "date", "date", None, "2020-03-01"),
+        TrainingRange(("wave",), "date", "date", "2020-02-01", "2020-03-10"),
+        TrainingRange(("x_lag_28_mean", "wave", "gappy_lag_28_std"), "date", "date", None, "2020-03-10"),
+        TrainingRange(("gappy_lag_28_std", "x_lag_28_mean", "empty_lag_28_mean"), "date", "date", "2020-02-01", None),
+        TrainingRange(("wave", "gappy_lag_28_std"), "date", "date"),
+    ]
+    aggregates = []
+    real = gram.Moments
+    monkeypatch.setattr(gram, "Moments", lambda *a: aggregates.append(1) or real(*a))
+    models = LeastSquares().fit_ranges(table, ranges, target_col="noisy")
+    assert len(aggregates) == 1
+    local = table.orderBy("id", "date").toPandas()
+    for r, model in zip(ranges, models):
+        inside = np.ones(len(local), bool)
+        days = local["date"].astype(str)
+        if r.until:
+            inside &= (days <= r.until).to_numpy()
+        if r.after:
+            inside &= (days > r.after).to_numpy()
+        x = local[list(r.feature_cols)].to_numpy(float)
+        if len(r.feature_cols) == 1:
+            inside &= ~np.isnan(x[:, 0])
+            design = np.column_stack([np.ones(len(x)), x])
+        else:
+            parts = [np.ones(len(x))]
+            for c in x.T:
+                if np.isnan(c[inside]).all():
+                    continue
+                parts.append(np.where(np.isnan(c), np.nanmean(c[inside]), c) - np.nanmean(c[inside]))
+                if np.isnan(c[inside]).any():
+                    parts.append(np.isnan(c).astype(float))
+            design = np.column_stack(parts)
+        want = design @ np.linalg.lstsq(design[inside], local["noisy"].to_numpy()[inside], rcond=1e-10)[0]
+        got = np.array([np.nan if v["forecast"] is None else v["forecast"] for v in model.transform(table).orderBy("id", "date").collect()])
+        assert np.allclose(got, want, rtol=1e-8, atol=1e-8, equal_nan=True)
+
+
+def test_a_feature_of_one_value_has_no_line(panel):
+    with pytest.raises(ValueError, match="fewer than two values"):
+        LeastSquares().fit(panel.selectExpr("sales", "7.3D AS flat"), feature_cols=["flat"], target_col="sales")

@@ -1,4 +1,4 @@
-from tidecast.models.base import Forecaster
+from tidecast.models.base import Forecaster, TrainingRange
 from tidecast.models.choose import forecaster
 from tidecast.models.ml import RegressorForecaster, boosted_trees, tweedie_linear
 from tidecast.models.simple import LeastSquares, Passthrough
@@ -11,6 +11,7 @@ __all__ = [
     "Passthrough",
     "RegressorForecaster",
     "StackedForecaster",
+    "TrainingRange",
     "TweedieBoostedTrees",
     "boosted_trees",
     "forecaster",

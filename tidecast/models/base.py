@@ -21,9 +21,26 @@ from tidecast.operators.base import quoted, ticked
 TEMP = "tc_"
 
 
+@dataclass(frozen=True)
+class TrainingRange:
+    """What one of several fits reads: its features, and rows with ``after < date <= until`` (None: no bound)."""
+
+    feature_cols: tuple[str, ...]
+    date_col: str = ""
+    date_type: str = "date"
+    after: str | None = None
+    until: str | None = None
+
+
 class Forecaster:
     """Base of all forecasters."""
 
+    def fit_ranges(
+        self, df: DataFrame, ranges: Sequence[TrainingRange], *, target_col: str, output_col: str = "forecast"
+    ) -> list[PipelineModel] | None:
+        """A fitted model for each range, all from the same passes over ``df``; None where each has to be fitted by itself."""
+        return None
+
     def fit(
         self, df: DataFrame, *, feature_cols: Sequence[str], target_col: str, output_col: str = "forecast"
     ) -> PipelineModel:

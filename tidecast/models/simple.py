@@ -6,13 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidecast.models.base import TEMP, Forecaster, added, fitted, labelled
-from tidecast.models.ml import RegressorForecaster
-from tidecast.operators.base import quoted, ticked
+from tidecast.models.base import Forecaster, TrainingRange, added, fitted
+from tidecast.models.gram import least_squares
+from tidecast.operators.base import ticked
 
 
 @dataclass(frozen=True)
@@ -31,20 +29,17 @@ class Passthrough(Forecaster):
 class LeastSquares(Forecaster):
     """Ordinary least squares over all feature columns.
 
-    Over one feature, rows without it are not fitted and get no forecast. Over
-    more, gaps are filled with the training mean and marked by a 0/1 column.
+    Over one feature, rows without it are not fitted and get no forecast. Over more, gaps are filled with the training mean
+    and marked by a 0/1 column. Any number of fits over ranges of dates follow from one aggregate of products by
+    segment of dates; the equations of each are solved on the driver.
     """
 
     def fit(
         self, df: DataFrame, *, feature_cols: Sequence[str], target_col: str, output_col: str = "forecast"
     ) -> PipelineModel:
-        if len(feature_cols) > 1:
-            plane = RegressorForecaster(lambda: LinearRegression(solver="normal"))
-            return plane.fit(df, feature_cols=feature_cols, target_col=target_col, output_col=output_col)
-        feature = feature_cols[0]
-        rows = labelled(df, [feature], target_col)
-        x, y = quoted(feature).cast("double"), F.col(TEMP + "label")
-        line = rows.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")).first()
-        if line["slope"] is None:
-            raise ValueError(f"{feature} takes fewer than two values in the training rows")
-        return fitted([added(f"{line['slope']!r}D * {ticked(feature)} + {line['intercept']!r}D", output_col)])
+        return self.fit_ranges(df, [TrainingRange(tuple(feature_cols))], target_col=target_col, output_col=output_col)[0]
+
+    def fit_ranges(
+        self, df: DataFrame, ranges: Sequence[TrainingRange], *, target_col: str, output_col: str = "forecast"
+    ) -> list[PipelineModel]:
+        return [fitted([added(e, output_col)]) for e in least_squares(df, ranges, target_col)]

@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.periods import Frequency, shift
-from tidecast.models import Forecaster, forecaster
+from tidecast.models import Forecaster, TrainingRange, forecaster
 from tidecast.operators import Fold, TimeBasedSplit
 from tidecast.operators.base import quoted
 from tidecast.sources.config import BacktestConfig, Block
-from tidecast.sources.files import write_csv
+from tidecast.sources.files import read_parquet, write_csv, write_parquet
 from tidecast.sources.runlog import RunLog
+from tidecast.storage import scratch_path
 
 LAG = re.compile(r"_lag_(\d+)_")
 
@@ -74,8 +75,30 @@ def check_blocks(config: BacktestConfig) -> None:
         check_leak(block, config.date_frequency, config.lag_frequency)
 
 
+def fitted_models(
+    model: Forecaster, df: DataFrame, ranges: Sequence[TrainingRange], *, target_col: str, threads: int
+) -> list[PipelineModel]:
+    """A model for each range: in shared passes if the forecaster can, else fitted one by one."""
+    together = model.fit_ranges(df, ranges, target_col=target_col)
+    if together is not None:
+        return together
+
+    def rows(r: TrainingRange) -> DataFrame:
+        out, date = df, quoted(r.date_col) if r.date_col else None
+        if r.until is not None:
+            out = out.where(date <= F.lit(r.until).cast(r.date_type))
+        return out if r.after is None else out.where(date > F.lit(r.after).cast(r.date_type))
+
+    tasks = [lambda r=r: model.fit(rows(r), feature_cols=r.feature_cols, target_col=target_col) for r in ranges]
+    return in_parallel(df, tasks, threads)
+
+
+def training_range(fold: Fold, feature_cols: Sequence[str]) -> TrainingRange:
+    return TrainingRange(tuple(feature_cols), fold.date_col, fold.date_type, fold.train_after, fold.train_end)
+
+
 def fold_forecast(
-    model: Forecaster,
+    fitted: PipelineModel,
     fold: Fold,
     df: DataFrame,
     *,
@@ -83,9 +106,8 @@ def fold_forecast(
     target_col: str,
     id_cols: Sequence[str],
 ) -> DataFrame:
-    """Fit on a fold's training rows and forecast its test rows."""
+    """Forecast a fold's test rows."""
     date_col = fold.date_col
-    fitted = model.fit(fold.train(df), feature_cols=feature_cols, target_col=target_col)
     first, last = fold.bounds()
     wanted = list(dict.fromkeys([*id_cols, date_col, target_col, *feature_cols]))
     return fitted.transform(fold.test(df).select(*map(quoted, wanted))).select(
@@ -115,12 +137,13 @@ def cross_val_forecast(
     if any(f.date_col != date_col for f in folds):
         raise ValueError(f"the folds are over another column than {date_col}")
 
-    def job(fold: Fold) -> Callable[[], DataFrame]:
-        return lambda: fold_forecast(
-            model, fold, df, feature_cols=feature_cols, target_col=target_col, id_cols=id_cols
-        )
-
-    return stack(in_parallel(df, [job(f) for f in folds], threads))
+    models = fitted_models(model, df, [training_range(f, feature_cols) for f in folds], target_col=target_col, threads=threads)
+    return stack(
+        [
+            fold_forecast(m, f, df, feature_cols=feature_cols, target_col=target_col, id_cols=id_cols)
+            for m, f in zip(models, folds)
+        ]
+    )
 
 
 def block_split(config: BacktestConfig, block: Block) -> TimeBasedSplit:
@@ -146,20 +169,15 @@ def multi_horizon_forecast(
     unit = Frequency.parse(config.date_frequency)
     # All blocks share their training ends: one search for them, and the steps of each block.
     shared = block_split(config, Block(tuple(sorted({h for b in blocks for h in b.forecast_horizon})), ())).folds(df)
-    splits = [[fold.with_horizon(b.forecast_horizon, unit) for fold in shared] for b in blocks]
-    tasks = [
-        lambda block=block, fold=fold: fold_forecast(
-            model,
-            fold,
-            df,
-            feature_cols=block.feature_cols,
-            target_col=config.target_col,
-            id_cols=[config.id_col],
-        )
-        for block, folds in zip(blocks, splits)
-        for fold in folds
-    ]
-    return stack(in_parallel(df, tasks, threads))
+    jobs = [(b, fold.with_horizon(b.forecast_horizon, unit)) for b in blocks for fold in shared]
+    ranges = [training_range(fold, b.feature_cols) for b, fold in jobs]
+    models = fitted_models(model, df, ranges, target_col=config.target_col, threads=threads)
+    return stack(
+        [
+            fold_forecast(m, fold, df, feature_cols=b.feature_cols, target_col=config.target_col, id_cols=[config.id_col])
+            for m, (b, fold) in zip(models, jobs)
+        ]
+    )
 
 
 def final_fit(
@@ -168,11 +186,8 @@ def final_fit(
     """One model per block, fitted to all rows that have a target."""
     model = forecaster(config.hyperparameters) if model is None else model
     check_blocks(config)
-    tasks = [
-        lambda block=block: model.fit(df, feature_cols=block.feature_cols, target_col=config.target_col)
-        for block in config.models.values()
-    ]
-    return dict(zip(config.models, in_parallel(df, tasks, threads)))
+    ranges = [TrainingRange(tuple(b.feature_cols)) for b in config.models.values()]
+    return dict(zip(config.models, fitted_models(model, df, ranges, target_col=config.target_col, threads=threads)))
 
 
 def score_future(
@@ -200,11 +215,17 @@ def cross_validate(
     model: Forecaster | None = None,
     run_id: str | None = None,
     threads: int = 4,
+    store_input: bool = True,
 ) -> str:
     """The whole back-test into the run log: parameters, forecasts, final models. Returns the run id.
 
-    The forecasts are also written as CSV to the run's artifact ``output_dir/output_file``.
+    The forecasts are also written as CSV to the run's artifact ``output_dir/output_file``. All fits read the columns that they
+    need from one stored copy of ``df``; ``store_input=False`` leaves that out, for a table that is stored already.
     """
+    if store_input:
+        names = [config.id_col, config.date_col, config.target_col, *(f for b in config.models.values() for f in b.feature_cols)]
+        pruned = df.select(*map(quoted, dict.fromkeys(names)))
+        df = read_parquet(df.sparkSession, write_parquet(pruned, scratch_path(df.sparkSession, "back-test")))
     run_id = log.new_run(run_id)
     log.log_params(run_id, config.hyperparameters if model is None else parameters_of(model))
     log.log_forecast(run_id, multi_horizon_forecast(df, config, model, threads))
