@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -35,8 +36,7 @@ def body(i, n=80):
 def test_template_lines_go_and_depleted_documents_with_them(spark, docs):
     frame = " ".join(f"frame{k}" for k in range(40))
     texts = [f"{frame}\n{body(i)}" for i in range(25)]  # a template on 25 different documents
-    texts += [f"{frame}\n{frame}x{i}\n{body(99, 10)}{i}" for i in range(0)]
-    texts += [f"{frame}\n{frame} \n{frame}\n{body(200 + i, 20)}" for i in range(2)]  # little else
+    texts += [f"{frame}\n{body(200 + i, 12)}" for i in range(2)]  # little else
     texts += [body(500) + "\n" + body(501)] * 30  # one text, copied: no template
     texts += [None, "", "too short"]
     df = docs(texts, extra=True)
@@ -67,6 +67,71 @@ def test_mostly_template_pages_and_a_copied_carrier(docs):
     assert all(r.kept and r.n_removed == 0 for r in few)
 
 
+def copies(i, words=120, line=10, edits=1):
+    """A text in lines with a few words changed."""
+    r = random.Random(i)
+    out = [f"base{k}" for k in range(words)]
+    for _ in range(edits):
+        out[r.randrange(words)] = f"new{i}x{r.randrange(1000)}"
+    return "\n".join(" ".join(out[k : k + line]) for k in range(0, words, line))
+
+
+def test_near_copies_make_no_template(docs):
+    for edits in (1, 3):
+        got = quality_rules(docs([copies(i, edits=edits) for i in range(60)])).collect()
+        assert all(r.kept and r.n_removed == 0 for r in got)
+
+
+def verdicts(texts, hosts):
+    """The verdict by definition, over all lines of all texts."""
+    lines = [[" ".join(x.lower().split()) for x in t.split("\n") if x.strip()] for t in texts]
+    holders = Counter((h, x) for h, ls in zip(hosts, lines) for x in set(ls))
+
+    def ends(x):
+        w = x.split()
+        n, k = len(w), min(4, len(w) // 2)
+        return {tuple(w[i : i + k]) for i in (0, (n - k) // 2, n - k)} if n >= 4 else set()
+
+    def shingles(x):
+        w = x.split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    common = {x for x, n in holders.items() if n >= 20}
+    known = {(h, a) for h, x in common for a in ends(x)}
+    different = {}
+    for i, (h, ls) in enumerate(zip(hosts, lines)):
+        own = frozenset(shingles(x) for x in ls if (h, x) not in common and not any((h, a) in known for a in ends(x)))
+        for x in set(ls):
+            if (h, x) in common:
+                different.setdefault((h, x), set()).add(own or "none")
+    gone = {x for x, who in different.items() if len(who) >= 20}
+    out = []
+    for t, h, ls in zip(texts, hosts, lines):
+        n, left = len(t.split()), sum(len(x.split()) for x in ls if (h, x) not in gone)
+        _, _, _, _, again = brute(t)
+        out.append((n - left, not (n < 50 or 100 * again > 50 * n) and left >= 0.3 * n))
+    return out
+
+
+def test_verdict_by_brute_force(docs):
+    """Template pages, near copies, copies, short and plain texts on two hosts, held against the definition."""
+    frame = "\n".join(" ".join(f"frame{k}x{j}" for j in range(12)) for k in range(8))
+    texts = [f"{frame}\n{body(i, 20)}" for i in range(30)] + [copies(i) for i in range(40)] + [body(500 + i, 70) for i in range(20)]
+    texts += [f"{frame}\n{body(600 + i, 90)}" for i in range(15)] + [copies(3)] * 25 + ["short text"] * 3
+    hosts = ["a" if i % 4 else "b" for i in range(len(texts))]
+    parts = {h: docs([t for t, x in zip(texts, hosts) if x == h], source=h) for h in "ab"}
+    for h, df in parts.items():
+        mine = [t for t, x in zip(texts, hosts) if x == h]
+        got = {r.row.doc_id: (r.n_removed, r.kept) for r in quality_rules(df).collect()}
+        assert [got[i] for i in range(len(mine))] == verdicts(mine, [h] * len(mine))
+
+
+def test_very_long_text(docs):
+    text = "\n".join(body(i, 200) for i in range(1500))
+    got = quality_rules(docs([text, text + " x"])).collect()
+    assert all(r.kept and r.quality.n_words >= 300_000 for r in got)
+
+
 def test_lines_count_by_host(docs):
     frame = " ".join(f"frame{k}" for k in range(40))
     parts = [docs([f"{frame}\n{body(100 * h + i)}" for i in range(15)], source=f"host{h}") for h in range(2)]

@@ -24,6 +24,8 @@ SHINGLE = 5
 LEAST_DOCUMENTS = 20
 #: The part of its words that a document must keep.
 LEAST_LEFT = 0.3
+#: Words of a line's anchors: those at its begin, in its middle and at its end.
+ANCHOR = 4
 MASK = (1 << 63) - 1
 
 
@@ -56,8 +58,21 @@ def line_key(host: str, line: str) -> int | None:
     return xxhash.xxh3_64_intdigest(f"{host}\0{norm}") & MASK if norm else None
 
 
+def anchors(hashes: np.ndarray, seed: int) -> list[int]:
+    """Hashes of a few words at the begin, in the middle and at the end of a line: an edit leaves some of them as they are.
+
+    A line of fewer than four words has none.
+    """
+    n = len(hashes)
+    if n < 4:
+        return []
+    w = min(ANCHOR, n // 2)
+    return [xxhash.xxh3_64_intdigest(hashes[i : i + w].tobytes(), seed) & MASK for i in sorted({0, (n - w) // 2, n - w})]
+
+
 def measure(text: str | None, host: str | None) -> dict:
     text, host = text or "", host or ""
+    seed = xxhash.xxh3_64_intdigest(host)
     raw = text.encode()
     words = raw.split()
     number: dict[bytes, int] = {}
@@ -73,7 +88,7 @@ def measure(text: str | None, host: str | None) -> dict:
         n = len(line.encode().split())
         if (key := line_key(host, line)) is not None:
             if key not in lines:
-                lines[key] = [0, signature(hashes[at : at + n])]
+                lines[key] = [0, signature(hashes[at : at + n]), anchors(hashes[at : at + n], seed)]
             lines[key][0] += n
         at += n
     return {
@@ -82,21 +97,20 @@ def measure(text: str | None, host: str | None) -> dict:
         "n_symbols": sum(map(text.count, SYMBOLS)),
         "n_dup_lines": copies,
         "n_repeat_words": repeated(ids, len(number)),
-        "text": xxhash.xxh3_64_intdigest(raw) & MASK,
-        "lines": [{"key": k, "words": n, "sig": sig} for k, (n, sig) in lines.items()],
+        "lines": [{"key": k, "words": n, "sig": sig, "anchors": a} for k, (n, sig, a) in lines.items()],
     }
 
 
 MEASURES = T.StructType(
     [
-        *(T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text")),
-        T.StructField("lines", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("key", "words", "sig")]))),
+        *(T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        T.StructField("lines", T.ArrayType(T.StructType([*(T.StructField(n, T.LongType()) for n in ("key", "words", "sig")), T.StructField("anchors", T.ArrayType(T.LongType()))]))),
     ]
 )
 MEASURED = pa.struct(
     [
-        *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text")),
-        ("lines", pa.list_(pa.struct([(n, pa.int64()) for n in ("key", "words", "sig")]))),
+        *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        ("lines", pa.list_(pa.struct([*((n, pa.int64()) for n in ("key", "words", "sig")), ("anchors", pa.list_(pa.int64()))]))),
     ]
 )
 
@@ -116,11 +130,11 @@ def quality_rules(
     their keys ``removed``; ``kept``.
 
     Each line is hashed in lower case with single spaces, together with its host. A line that fewer than
-    ``least_documents`` rows hold is its document's own. For each other line the different documents that hold it are
-    counted: those whose own lines have the same least hashes of five-word shingles count once, as do equal texts
-    without own lines. So copies of a text add nothing, and lines of a template, however much of the text they are,
-    do not decide which documents are different. Near copies whose changes stand in different lines do count as
-    different. A line in ``least_documents`` different documents of a host is over the limit. A document that keeps
+    ``least_documents`` rows hold is its document's own, unless it has an anchor (a few words at its begin, in its middle or at
+    its end) of a line that more rows of the host hold: then it is such a line, edited. For each common line the different
+    documents that hold it are counted: those whose own lines have the same least hashes of five-word shingles count once,
+    and those without own lines by the least of their common lines. So copies of a text add next to nothing, edited or not, and
+    lines of a template, however much of the text they are, do not decide which documents are different. A line in ``least_documents`` different documents of a host is over the limit. A document that keeps
     less than ``least_left`` of its words without such lines is rejected, as is one that fails the base rules.
 
     A row stands for itself: repeated rows and ids are each judged. A null text is empty; a null host is a host of
@@ -140,15 +154,22 @@ def quality_rules(
     schema = T.StructType([T.StructField("row", source.schema[row].dataType), T.StructField("quality", MEASURES)])
     measured = map_batches(source, run, schema)
     measured = stored(measured.withColumn("rid", F.monotonically_increasing_id()), "lines")
-    lines = measured.select("rid", F.col("quality.text").alias("text"), F.explode("quality.lines").alias("line")).select("rid", "text", "line.*")
-    common = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents).select("key", F.lit(True).alias("common"))
-    own = F.array_sort(F.collect_set(F.when(F.col("common").isNull(), F.col("sig"))))
+    lines = measured.select("rid", F.explode("quality.lines").alias("line")).select("rid", "line.*")
+    common = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors")).where(F.col("n") >= least_documents)
+    common = stored(common.select("key", "anchors"), "common")
+    marked = lines.join(small(common.select("key", F.lit(True).alias("common"))), "key", "left")
+    # of documents that hold a common line: their other lines that share an anchor with one
+    holders = stored(marked.where("common").select("rid").distinct(), "holders")
+    known = small(stored(common.select(F.explode("anchors").alias("anchor")).distinct(), "anchors"))
+    others = marked.where("common IS NULL").join(small(holders), "rid", "left_semi").select("rid", "key", F.explode("anchors").alias("anchor"))
+    edited = stored(others.join(known, "anchor", "left_semi").select("rid", "key").distinct(), "edited").withColumn("edited", F.lit(True))
+    own = F.array_sort(F.collect_set(F.when(F.col("common").isNull() & F.col("edited").isNull(), F.col("sig"))))
     held = (
-        lines.join(small(stored(common, "common")), "key", "left")
-        .groupBy("rid", "text")
+        marked.join(small(edited), ["rid", "key"], "left")
+        .groupBy("rid")
         .agg(own.alias("own"), F.collect_list(F.when(F.col("common"), F.struct("key", "words"))).alias("shared"))
         .where(F.size("shared") > 0)
-        .select("rid", F.when(F.size("own") > 0, F.xxhash64("own")).otherwise(F.col("text")).alias("sig"), "shared")
+        .select("rid", F.when(F.size("own") > 0, F.xxhash64("own")).otherwise(F.array_min("shared.key")).alias("sig"), "shared")
     )
     shared = stored(held, "shared").select("rid", "sig", F.explode("shared").alias("line")).select("rid", "sig", "line.*")
     frequent = (
@@ -169,7 +190,7 @@ def quality_rules(
     gone = F.coalesce("n_removed", F.lit(0))
     return measured.join(removed, "rid", "left").select(
         "row",
-        q.dropFields("text", "lines").alias("quality"),
+        q.dropFields("lines").alias("quality"),
         failed.alias("base_failed"),
         gone.alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"),
