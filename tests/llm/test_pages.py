@@ -74,3 +74,52 @@ def test_odd_pages(spark):
     assert got[0] == got[1] and got[0].text == "T <x> & y z\nOne two three four\nfive six\nitem one\nitem two\n1 < 2" and got[0].n_chars == len(got[0].text)
     assert [r.text for r in got[2:]] == ["", "", "plain words only", "cut of"]
     assert extract(pages(spark).where("false"), WEIGHTS).collect() == []
+
+
+LONG = "The quick brown fox jumps over the lazy dog near the river bank today. " * 3
+TEXT = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<body class="has-sidebar"><h1>Head</h1><p>{LONG}</p></body>', f"Head\n{TEXT}"),
+        (f'<div class="post comments-open"><p>{LONG}</p></div>', TEXT),
+        (f'<h1 class="post-title">Head</h1><div class="post-body"><p>{LONG}</p></div>', f"Head\n{TEXT}"),
+        (f"<article><p>{LONG}</p></article><article><p>Other {LONG}</p></article>", f"{TEXT}\nOther {TEXT}"),
+        (f'<p class="story-text">{LONG}</p><p class="story-text">B {LONG}</p><p class="story-text">C</p>', f"{TEXT}\nB {TEXT}\nC"),
+        (f'<article><h1 class="entry-header">Head</h1><p>{LONG}</p></article>', f"Head\n{TEXT}"),
+        (f'<article><p class="alert">Mind this.</p><p>{LONG}</p></article>', f"Mind this.\n{TEXT}"),
+        (f'<div id="page" class="layout sidebar-right"><article><p>{LONG}</p></article></div>', TEXT),
+        (f'<html class="no-js header-fixed"><body><nav><a>x</a></nav><main><p>{LONG}</p></main></body></html>', TEXT),
+        (f'<div class="comments"><article class="comment">nice</article></div><article><p>{LONG}</p></article><div id="comments"><p>Great {LONG}</p></div>', TEXT),
+        (f"<ul><li><a href=x>One</a></li><li><a>Two</a></li></ul><div><p>{LONG}</p></div><div>All rights reserved</div>", TEXT),
+        (f'<article><p title="a > b">{LONG}</p><div class="share">Share</div><p>End.</p></article>', f"{TEXT}\nEnd."),
+    ],
+)
+def test_what_classes_say(page, text):
+    assert main_text(page, WEIGHTS) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<", "<!--", "</a ", "<p><b>", "</i>", "<a href='x", "<p></b>"])
+def test_broken_markup_takes_linear_time(piece):
+    """Ten times the page takes about ten times as long, far from a hundred times; the words around it are kept."""
+    import time
+
+    def took(n):
+        start = time.process_time()
+        main_text(f"<p>{LONG}</p>" + piece * n, WEIGHTS)
+        return time.process_time() - start
+
+    assert took(100_000) < 30 * max(took(10_000), 0.02)
+    assert main_text(f"<p>{LONG}</p>" + piece * 50, WEIGHTS).startswith(TEXT)
+
+
+def test_a_very_long_page(spark):
+    rows = [(1, "u", f"<article>{'<p>Some words of a long page.</p>' * 50_000}</article>")]
+    assert extract(pages(spark, rows), WEIGHTS).first().n_chars == 50_000 * 27 - 1
+
+
+def test_columns_that_clash(spark):
+    df = pages(spark, [(1, "u", f"<p>{LONG}</p>")]).selectExpr("*", "'mine' AS text", "7 AS n_chars")
+    assert extract(df, WEIGHTS).columns == ["page_id", "url", "text", "n_chars"] and extract(df, WEIGHTS).first().text == TEXT

@@ -16,10 +16,14 @@ from pyspark.sql import types as T
 
 from tidecast.llm.common import map_batches, schema_of, table
 
-#: Comments, declarations, tags with quoted values, text. What is not a tag is text.
-PIECE = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^<>]*\Z|[^<]+|<""", re.DOTALL
-)
+#: The inside of a tag with quoted values, up to its end. Possessive, so that a tag without an end is given up at once.
+QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+#: Text, and signs of less that begin nothing.
+PLAIN = re.compile(r"(?:[^<]++|<(?![a-zA-Z!?]|/[a-zA-Z]))++")
+#: The end of a sentence, and the words from which on a block with one looks like a part of a text.
+SENTENCE = re.compile(r"[.!?…。！？:][\"'”’)]*(?:\s|$)")
+LEAST_BLOCK = 8
 MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 UNSEEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 #: Fixed values of HTML: elements without content, elements whose content is not markup, elements that start a block,
@@ -48,76 +52,166 @@ WORDS = {
     "article": "article post story entry main content body-text",
 }
 ROLES = {word: role for role, words in WORDS.items() for word in words.split()}
+#: Parts of a class that say how something is shown or what else there is, not what it is.
+STATES = set("has no is with without not js open closed fixed sticky enabled disabled active on off inactive".split())
+#: Elements that hold parts of a page; others are parts of a text, whatever their class says of it.
+CONTAINERS = set("article main section div".split())
+INLINE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th span a b i em strong u small q cite code font mark".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Roles whose text is not part of an article that they stand in.
 OUTSIDE = ("head", "menu", "header", "footer", "side", "ad", "notice", "form", "comments", "unseen")
 
 
 @dataclass(frozen=True)
 class Text:
-    """Text between two tags: the role it stands in, its block, and the outermost article around it (0: none)."""
+    """Text between two tags: the role it stands in, its block, the outermost article around it (0: none), if it is in a link
+    and in a page's heading."""
 
     words: str
     role: str
     block: int
     article: int
+    linked: bool = False
+    heading: bool = False
+
 
+def pieces(html: str) -> Iterator[tuple[str, str, str]]:
+    """``kind, name or text, inside`` of the parts of a page: ``text``, ``open`` and ``close``.
 
-def role_of(name: str, marks: str, inside: str) -> str | None:
+    What is not a tag is text; a tag that the page's end cuts off, comments and declarations are nothing. Each character is
+    looked at a bounded number of times: once a quoted value has no end, tags go to the next ``>``, and once there is none of
+    these either, no more tags begin.
+    """
+    at, quotes, size, last = 0, True, len(html), html.rfind(">")
+    while at < size:
+        if (text := PLAIN.match(html, at)) is not None:
+            yield "text", text[0], ""
+            at = text.end()
+            continue
+        if at > last:  # no tag ends any more
+            comment, tag = html.find("<!--", at), html.rfind("<")
+            end = comment if comment >= 0 else tag if NAME.match(html, tag + 1) else size
+            if end > at:
+                yield "text", html[at:end], ""
+            return
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if html.startswith(("<!", "<?"), at):
+            at = html.index(">", at) + 1
+            continue
+        begin, name = at, NAME.match(html, at + 1)
+        end = QUOTED.match(html, name.end()) if quotes else None
+        if end is None:
+            quotes = False
+            stop = html.index(">", begin) + 1
+        else:
+            stop = end.end()
+        yield ("close" if html[begin + 1] == "/" else "open"), name[1].lower(), html[name.end() : stop - 1]
+        at = stop
+
+
+def role_of(name: str, marks: str, inside: str) -> tuple[str | None, bool]:
+    """The role that an element takes, and whether only a part of a class or id says so.
+
+    Elements say most. Of classes and ids, whole words count before parts of words; words of state say nothing, and on
+    ``html`` and ``body`` none counts. In an article, headings keep it, and texts leave it neither as headers nor notices.
+    """
     if UNSEEN.search(marks):
-        return "unseen"
+        return "unseen", False
     role = ELEMENTS.get(name)
-    if role == "header" and inside == "article":
-        role = None  # an article's own heading
-    if role is not None:
-        return role
-    found = [
-        ROLES[word]
-        for m in MARKS.finditer(marks)
-        for value in (m[2] or m[3] or m[4] or "",)
-        for word in re.split(r"[\s_]+|-(?=[a-z])", value.lower())
-        if word in ROLES
-    ]
-    return next((r for r in found if r in OUTSIDE), found[0] if found and name in BLOCK else None)
+    own = role == "header" and inside == "article"  # an article's own heading
+    if role is not None and not own and role != "article":
+        return role, False
+    if name in ("html", "body") or name in HEADINGS and inside == "article":
+        return role if not own else None, False
+    whole, part = [], []
+    for m in MARKS.finditer(marks):
+        for token in re.split(r"[\s]+", (m[2] or m[3] or m[4] or "").lower()):
+            if token in ROLES:
+                whole.append(ROLES[token])
+            else:
+                words = re.split(r"_+|-+", token)
+                if len(words) > 1 and not STATES.intersection(words):
+                    part += [ROLES[w] for w in words if w in ROLES]
+    quiet = ("header", "notice") if inside == "article" and (name in INLINE or own) else ("header",) if inside == "article" else ()
+    whole, part = ([r for r in found if r not in quiet] for found in (whole, part))
+    if out := next((r for r in whole if r in OUTSIDE), None):
+        return (out, False) if "article" not in whole or name not in CONTAINERS else ("article", False)
+    if role == "article" or "article" in whole and name in BLOCK:
+        return "article", False
+    if out := next((r for r in part if r in OUTSIDE), None):
+        return out, True
+    return ("article", True) if part and name in BLOCK else (None, False)
 
 
 def scan(html: str) -> Iterator[Text | str]:
     """Texts, and names of the tags between them, in page order."""
-    stack: list[tuple[str, str, int]] = []  # element, role, article
+    stack: list[tuple[str, str, int, bool]] = []  # element, role, article, whether a part of a class gave the role
+    open_of: Counter[str] = Counter()
     block, articles, skip = 0, 0, ""
-    for m in PIECE.finditer(html):
-        close, name, marks = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if name is None:
-            piece = m[0]
-            if skip or piece.startswith(("<!", "<?")) or len(piece) > 1 and piece[0] == "<":
-                continue
-            _, role, article = stack[-1] if stack else ("", "plain", 0)
-            yield Text(unescape(piece), role, block, article)
+
+    def leave(keep: int) -> None:
+        for name, *_ in stack[keep:]:
+            open_of[name] -= 1
+        del stack[keep:]
+
+    for kind, name, marks in pieces(html):
+        if kind == "text":
+            if not skip:
+                _, role, article, _ = stack[-1] if stack else ("", "plain", 0, False)
+                yield Text(unescape(name), role, block, article, open_of["a"] > 0, open_of["h1"] > 0)
             continue
-        name = name.lower()
         if skip:
-            if close and name == skip:
+            if kind == "close" and name == skip:
                 skip = ""
             continue
         if name in BLOCK:
             block += 1
         yield name
-        if close:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                del stack[at:]
+        if kind == "close":
+            if open_of[name]:
+                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
         elif name in RAW:
             skip = "" if marks.endswith("/") else name
         elif name not in VOID:
-            if name in ENDS_ITSELF and stack and name in (e for e, _, _ in stack[-4:]):
-                at = max(i for i in range(len(stack)) if stack[i][0] == name)
-                if not any(e in BLOCK and e not in ("p", "li", "td", "th", "tr", "dt", "dd") for e, _, _ in stack[at + 1 :]):
-                    del stack[at:]
-            _, inside, article = stack[-1] if stack else ("", "plain", 0)
-            role = role_of(name, marks, inside)
-            if role == "article" and inside not in OUTSIDE and not article:
+            if name in ENDS_ITSELF:
+                near = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 5), -1) if stack[i][0] == name), None)
+                if near is not None and not any(e in BLOCK and e not in ("p", "li", "td", "th", "tr", "dt", "dd") for e, *_ in stack[near + 1 :]):
+                    leave(near)
+            _, inside, article, weak = stack[-1] if stack else ("", "plain", 0, False)
+            role, partly = role_of(name, marks, inside)
+            # an article wins its role back from what only a part of a class gave
+            taken = role is not None and (inside not in OUTSIDE or weak and role == "article" and not partly)
+            if taken and role == "article" and name in CONTAINERS and not article:
                 articles += 1
                 article = articles
-            stack.append((name, inside if role is None or inside in OUTSIDE else role, article))
+            stack.append((name, role if taken else inside, article, partly if taken else weak))
+            open_of[name] += 1
+
+
+def kinds(tokens: list[Text | str]) -> Iterator[str]:
+    """What a token is scored as: a tag by its name; words by their role, and plain ones by what their block looks like."""
+    words, linked, said = Counter(), Counter(), set()
+    for t in tokens:
+        if isinstance(t, Text):
+            n = len(t.words.split())
+            words[t.block] += n
+            linked[t.block] += n * t.linked
+            if SENTENCE.search(t.words):
+                said.add(t.block)
+    for t in tokens:
+        if isinstance(t, str):
+            yield f"tag {t}"
+        elif t.role != "plain":
+            yield f"word {t.role}"
+        elif t.heading:
+            yield "word plain heading"
+        elif 2 * linked[t.block] > words[t.block]:
+            yield "word plain linked"
+        else:
+            yield "word plain" if t.block in said and words[t.block] >= LEAST_BLOCK else "word plain short"
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -146,35 +240,44 @@ def learn_weights(labelled: Iterable[tuple[str, str]]) -> dict[str, float]:
         for t in tokens:
             if isinstance(t, Text):
                 blocks[t.block] = blocks.get(t.block, "") + t.words
-        for t in tokens:
+        for t, kind in zip(tokens, kinds(tokens), strict=True):
             if isinstance(t, str):
-                tags.append(t)
+                tags.append(kind)
             elif n := len(t.words.split()):
                 now = " ".join(blocks[t.block].split()) in wanted
-                (inside if now else outside)[f"word {t.role}"] += n
+                (inside if now else outside)[kind] += n
                 for tag in tags:
-                    (inside if now and is_in else outside)[f"tag {tag}"] += 1
+                    (inside if now and is_in else outside)[tag] += 1
                 tags, is_in = [], now
     odds = {k: log((inside[k] + 0.5) / (outside[k] + 0.5)) for k in inside | outside}
     return {k: max(-3.0, min(3.0, v)) if k.startswith("word") else max(-0.5, min(-0.01, 0.1 * v)) for k, v in odds.items()}
 
 
 def main_text(html: str | None, weights: dict[str, float]) -> str:
-    """The blocks of the best region, or of the whole article it lies in, without what stands in another role there."""
+    """The blocks of the best region without what stands in another role there, from the begin to the end of its articles.
+
+    An article that the region touches is taken whole. Where most words of the region stand in articles, it is cut to what
+    lies between the first begin and the last end of these.
+    """
     tokens = list(scan(html or ""))
-    default = {role: -1.0 for role in OUTSIDE} | {"article": 1.0, "plain": 0.1}
-    word = {role: weights.get(f"word {role}", value) for role, value in default.items()}
-    scores = [weights.get(f"tag {t}", -0.1) if isinstance(t, str) else word[t.role] * len(t.words.split()) for t in tokens]
+    told = list(kinds(tokens))
+    default = {f"word {role}": -1.0 for role in OUTSIDE} | {"word article": 1.0}
+    counts = [0 if isinstance(t, str) else len(t.words.split()) for t in tokens]
+    scores = [weights.get(k, -0.1) if isinstance(t, str) else weights.get(k, default.get(k, 0.1)) * n for t, k, n in zip(tokens, told, counts, strict=True)]
     begin, end = best_region(scores)
-    region = [t for t in tokens[begin:end] if isinstance(t, Text)]
-    held = Counter()
-    for t in region:
-        held[t.article] += len(t.words.split()) if t.role not in OUTSIDE else 0
-    if held and (article := max(held, key=lambda a: (held[a], -a))):
-        region = [t for t in tokens if isinstance(t, Text) and t.article == article]
+    if begin == end:  # nothing looks like a text: short plain words then are
+        begin, end = best_region([0.1 * n if k == "word plain short" else s for s, k, n in zip(scores, told, counts, strict=True)])
+    kept = [n if n and t.role not in OUTSIDE else 0 for t, n in zip(tokens, counts, strict=True)]
+    touched = {tokens[i].article for i in range(begin, end) if kept[i] and tokens[i].article}
+    if touched:
+        own = [i for i, t in enumerate(tokens) if isinstance(t, Text) and t.article in touched]
+        among = [i for i in range(begin, end) if kept[i]]
+        if 2 * sum(kept[i] for i in among if tokens[i].article) >= sum(kept[i] for i in among):
+            among = [i for i in among if tokens[i].role == "article" or tokens[i].heading]
+        begin, end = min([*own[:1], *among[:1]]), max([*own[-1:], *among[-1:]]) + 1
     blocks: dict[int, list[str]] = {}
-    for t in region:
-        if t.role not in OUTSIDE:
+    for t in tokens[begin:end]:
+        if isinstance(t, Text) and t.role not in OUTSIDE:
             blocks.setdefault(t.block, []).append(t.words)
     return "\n".join(x for b in blocks.values() if (x := " ".join("".join(b).split())))
 
@@ -195,6 +298,13 @@ def _page(*, menu="", top="", side="", notice="", advert="", form="", comments="
     return f"<html><head><title>{main[0]}</title></head><body>{around}{held}{after}</body></html>", "\n".join(main)
 
 
+def _plain(*, links="", before=(), after=(), main=()) -> tuple[str, str]:
+    """A labelled page whose parts no class, id or element tells apart."""
+    menu = "<div>" + "".join(f'<div><a href="/{x}">{x}</a></div>' for x in links.split()) + "</div>"
+    parts = ["".join(f"<div>{x}</div>" if x.endswith(".") or xs is not main else f"<h1>{x}</h1>" for x in xs) for xs in (before, main, after)]
+    return f"<html><body>{menu}<div>{parts[0]}</div><div>{parts[1]}</div><div>{parts[2]}</div>{menu}</body></html>", "\n".join(main)
+
+
 #: Labelled pages, made up by hand after common layouts.
 LABELLED = (
     _page(
@@ -219,18 +329,32 @@ LABELLED = (
         menu="Search Login", top="Forum of the gardeners", comments="I agree with the first post. So do I.", form="Write a reply",
         main=("When to cut roses", "Cut them when the forsythia is in bloom, above an outward bud, and take out all dead wood."),
     ),
+    _plain(
+        links="Home Maps Shops Help Contact", before=("Your city guide", "Monday edition"), after=("All rights reserved", "Imprint and privacy", "Back to top"),
+        main=("The old mill opens again", "After four years of work the mill on the river is open to visitors from Tuesday to Sunday.",
+              "Guides show the wheel, the stones and the miller's room, and on Saturdays flour is ground as it was then."),
+    ),
+    _plain(
+        links="Start Archive Authors Feed", before=("Notes on clocks",), after=("Older notes", "Newer notes", "Share this page", "Written in spare time"),
+        main=("A pendulum loses a few seconds each day when the room gets warm, because its rod grows a little longer.",
+              "A rod of two metals that pull against each other keeps its length, and with it the clock keeps its time.",
+              "Makers have used such rods for three hundred years, and a good one still holds within a second a week."),
+    ),
 )
 
 
 def extract(df: DataFrame, weights: dict[str, float], *, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Columns ``keep`` of ``df``, ``text`` and ``n_chars``: the main text of each page, blocks joined by line breaks.
 
-    Words score by the role of what they stand in, tags by their name; one pass finds the contiguous part with the
-    largest sum. If it lies in an article, the article is taken to its ends. Menus, forms, adverts and the like inside
-    it are left out. Character references are decoded, white space in a block becomes one space.
+    Words score by the role of what they stand in, plain ones by what their block looks like, tags by their name; one pass
+    finds the contiguous part with the largest sum. Articles in it are taken to their ends. Menus, forms, adverts and the
+    like inside it are left out. The work is linear in the page, however broken its markup. Character references are decoded, white space in a block becomes one space.
 
-    A null or empty page, or one without words of positive score, has empty text. Nothing is cut off, however long.
+    A page without any words of positive score gives its short plain words; a null or empty page, or one without these, has
+    empty text. Columns of ``df`` named like those added are left out unless they are in ``keep``, which is an error. Nothing is cut off, however long.
     """
+    if {"text", "n_chars"} & {k.lower() for k in keep}:
+        raise ValueError("text and n_chars are added and cannot be kept")
     source = df.select(*keep, F.col(html_col).alias("html"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
