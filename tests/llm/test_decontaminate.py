@@ -1,3 +1,5 @@
+import pytest
+
 from tidecast.llm.decontaminate import WINDOW, contaminated, decontamination_stage, op5_decontamination
 from tidecast.llm.common import text_key
 
@@ -20,6 +22,44 @@ def test_exact_changed_and_inconsistent(spark, docs):
     assert got[1, 1].slots > 0 and got[6, 1].found == got[6, 1].windows
 
 
+TOM = "Tom has 3 apples. Tom buys 4 more at the shop. Tom eats 2 of them. How many apples does Tom have now?"
+CITY = "How many miles is the way from Boston to Albany if the road from Boston goes over the hills and by the lake to Albany in the north?"
+SUM = "Compute 12 + 7 + 9 + 30 + 5 + 8 + 11."
+PASSAGE = " ".join(f"word{i}" for i in range(100))
+
+
+@pytest.mark.parametrize(
+    "item, text, held",
+    [
+        (TOM, TOM.replace("Tom", "Ann").replace("3", "5"), True),
+        (CITY, CITY.replace("Boston", "New York").replace("Albany", "Los Angeles"), True),
+        (CITY, CITY.replace("from Boston", "from Rome", 1).replace("from Boston", "from Paris"), False),
+        (CITY, CITY.lower(), True),
+        (CITY, CITY.upper(), True),
+        (SUM, SUM, True),
+        (SUM, SUM.replace("12", "13").replace("9", "10"), False),
+        ("What is the capital of France?", "Q: What is the capital of France?", True),
+        ("What is the capital of France?", "the capital of France is what we ask", False),
+        ("Name the largest planet.", "we were asked to name the largest planet in class", True),
+        ("two words", "here are two words", False),
+        ("two words", "Two words!", True),
+        (PASSAGE, " ".join(PASSAGE.split()[20:80]), True),
+        (PASSAGE, " ".join(PASSAGE.split()[20:50]), False),
+        ("The Old Man And The Sea Of Ice", "we read the old man and the sea of ice", True),
+    ],
+)
+def test_forms_of_an_item(spark, docs, item, text, held):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [text, f"Some words stand before it here. {text} And some more come after it.", "nothing of the kind here at all, not a bit of it"]
+    want = {(0, 1), (1, 1)} if item != "two words" else {(0, 1)}
+    assert set(found(docs, items, texts)) == (want if held else set())
+
+
+def test_very_long_text(spark, docs):
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert set(found(docs, items, ["and so on it goes for long " * 50_000 + CHANGED, "and so on it goes for long " * 50_000])) == {(0, 1)}
+
+
 def test_two_changed_copies_in_one_text(spark, docs):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert set(found(docs, items, [CHANGED + " " + ITEM, CHANGED[:60]])) == {(0, 1)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -56,6 +56,18 @@ class Node:
     children: list[Node] = field(default_factory=list)
     slot: int = -1
 
+    def flat(self, depth: int) -> list[Node | None]:
+        """The nodes by their number: the root is 1, the children of ``n`` are ``2 n`` and ``2 n + 1``."""
+        out: list[Node | None] = [None] * 2 ** (depth + 1)
+
+        def put(node: Node, n: int) -> None:
+            out[n] = node
+            for side, child in enumerate(node.children):
+                put(child, 2 * n + side)
+
+        put(self, 1)
+        return out
+
     def sql(self, test, leaf) -> str:
         """The tree as nested ``CASE``: ``test(feature, bin)`` is true on the left, ``leaf(node)`` ends a branch."""
         if not self.children:
@@ -64,11 +76,24 @@ class Node:
         return left if left == right else f"CASE WHEN {test(self.feature, self.bin)} THEN {left} ELSE {right} END"
 
 
+def numbers(values: Iterable[float], kind: str = "INT") -> str:
+    """An array constant, written as one text: hundreds of literals would be slow to analyse."""
+    return f"CAST(split('{','.join(map(repr, values))}', ',') AS ARRAY<{kind}>)"
+
+
+def leaf_of(flat: Sequence[Node | None], depth: int) -> str:
+    """The number of the leaf that a row with ``bins`` falls into, as SQL."""
+    feature = numbers(n.feature if n and n.children else -1 for n in flat)
+    border = numbers(n.bin if n and n.children else -1 for n in flat)
+    down = f"2 * n + CAST(get(bins, get({feature}, n)) > get({border}, n) AS INT)"
+    return f"aggregate(sequence(1, {depth}), 1, (n, i) -> CASE WHEN get({feature}, n) < 0 THEN n ELSE {down} END)"
+
+
 @dataclass(frozen=True)
 class Histograms:
     """Sums of derivatives by node, feature and bin: one aggregate for each level of a tree.
 
-    ``rows`` holds the bins ``b0, b1, ...`` of each feature and is read with ``slope`` and ``bend``, SQL for the first and
+    ``rows`` holds the bins of all features as an array ``bins`` and is read with ``slope`` and ``bend``, SQL for the first and
     second derivative. The sums that come back are as many as nodes times bins, whatever the number of rows.
     """
 
@@ -81,16 +106,18 @@ class Histograms:
     def offsets(self) -> list[int]:
         return [sum(self.sizes[:i]) for i in range(len(self.sizes))]
 
-    def sums(self, rows: DataFrame, tree: Node, slots: int) -> np.ndarray:
-        """``slots`` x bins of all features x (slope, bend, rows) for the nodes of ``tree`` that have a slot."""
+    def sums(self, rows: DataFrame, tree: Node, slots: int, depth: int) -> np.ndarray:
+        """``slots`` x bins of all features x (slope, bend, rows) for the nodes of ``tree`` that have a slot.
+
+        Tree and slots go in as array literals, so that the code Spark generates is the same for each level and round.
+        """
         width = sum(self.sizes)
-        node = tree.sql(lambda f, b: f"b{f} <= {b}", lambda n: str(n.slot))
-        codes = ", ".join(f"node * {width} + {at} + b{i}" for i, at in enumerate(self.offsets))
+        flat = tree.flat(depth)
         found = (
-            rows.selectExpr("*", f"{node} AS node")
-            .where("node >= 0")
-            .selectExpr(f"{self.slope} AS slope", f"{self.bend} AS bend", f"explode(array({codes})) AS code")
-            .groupBy("code")
+            rows.selectExpr("*", f"get({numbers(n.slot if n else -1 for n in flat)}, {leaf_of(flat, depth)}) AS slot")
+            .where("slot >= 0")
+            .selectExpr("slot", f"{self.slope} AS slope", f"{self.bend} AS bend", "posexplode(bins) AS (f, b)")
+            .groupBy(F.expr(f"slot * {width} + get({numbers(self.offsets)}, f) + b").alias("code"))
             .agg(F.sum("slope"), F.sum("bend"), F.count(F.lit(1)).cast("double"))
             .toArrow()
         )
@@ -124,7 +151,7 @@ class Histograms:
         A level sums up one child of each split, the one with fewer rows; the other is the parent without it.
         """
         tree = Node(slot=0)
-        level = [(tree, self.sums(rows, tree, 1)[0])] if depth else []
+        level = [(tree, self.sums(rows, tree, 1, depth)[0])] if depth else []
         for d in range(depth):
             pairs = []
             for node, sums in level:
@@ -138,7 +165,7 @@ class Histograms:
                 break
             for i, (node, _, fewer) in enumerate(pairs):
                 node.children[fewer].slot = i
-            made = self.sums(rows, tree, len(pairs))
+            made = self.sums(rows, tree, len(pairs), depth)
             level = []
             for (node, sums, fewer), own in zip(pairs, made):
                 node.children[fewer].slot = -1

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tidecast.models.base import TEMP, Forecaster, added, dropped, fitted, labelled, prepare
-from tidecast.models.histograms import Histograms, Node, bin_edges, searched
+from tidecast.models.histograms import Histograms, Node, bin_edges, leaf_of, numbers, searched
 from tidecast.storage import shared_folder
 
 #: Trees in one expression of the fitted model.
@@ -43,6 +43,8 @@ class TweedieBoostedTrees(Forecaster):
             raise ValueError(f"power must lie between 1 and 2, not {self.power}")
         if not 2 <= self.bins <= 32_767:
             raise ValueError(f"bins must be 2 to 32767, not {self.bins}")
+        if not 1 <= self.depth <= 12:
+            raise ValueError(f"depth must be 1 to 12, not {self.depth}")
 
     def fit(
         self, df: DataFrame, *, feature_cols: Sequence[str], target_col: str, output_col: str = "forecast"
@@ -56,8 +58,9 @@ class TweedieBoostedTrees(Forecaster):
         filled = prep.stages[0].transform(rows)
         edges = bin_edges(filled, columns, self.bins)
         score, label = TEMP + "score", TEMP + "label"
+        bins = ", ".join(f"CAST({searched(c, e)} AS SMALLINT)" for c, e in zip(columns, edges))
         scored = filled.selectExpr(
-            *[f"CAST({searched(c, e)} AS SMALLINT) AS b{i}" for i, (c, e) in enumerate(zip(columns, edges))],
+            f"array({bins}) AS bins",
             label,
             f"{start!r}D AS {score}",
         ).persist(StorageLevel.MEMORY_AND_DISK)
@@ -77,8 +80,9 @@ class TweedieBoostedTrees(Forecaster):
                 trees.append(tree)
                 if not tree.children or i + 1 == self.rounds:
                     break  # without a split no later round has one
-                step = tree.sql(lambda f, b: f"b{f} <= {b}", lambda n: f"{self.rate * n.step!r}D")
-                moved = scored.withColumn(score, F.expr(f"{score} + {step}"))
+                flat = tree.flat(self.depth)
+                steps = numbers((self.rate * n.step if n else 0.0 for n in flat), "DOUBLE")
+                moved = scored.withColumn(score, F.expr(f"{score} + get({steps}, {leaf_of(flat, self.depth)})"))
                 # Filled by the next level's aggregate; the round before is done with by then.
                 if stale is not None:
                     stale.unpersist()
