@@ -53,12 +53,11 @@ def is_kept(tokens: Column, i: Column) -> Column:
 
 def value_of(token: Column, before: Column) -> Column:
     """A token's hash, whatever its case, with the kind of placeholder it is in the lowest bits."""
-    units = F.array(*(F.lit(u) for u in UNITS))
-    number = lambda t: F.substring(t, 1, 1).between("0", "9")
+    number = lambda t: (t >= "0") & (t < ":")
     kind = (
         F.when(number(token), NUMBER)
-        .when(F.substring(token, 1, 1).isin("%", "$", "€", "£"), UNIT)
-        .when(number(before) & F.array_contains(units, F.lower(token)), UNIT)
+        .when(number(before) & F.lower(token).isin(UNITS), UNIT)
+        .when(token.isin("%", "$", "€", "£"), UNIT)
         .otherwise(0)
     )
     return F.shiftleft(F.xxhash64(F.lower(token)), 2).bitwiseOR(kind.cast("long"))
@@ -68,12 +67,20 @@ def kind_of(value: Column) -> Column:
     return value.bitwiseAND(F.lit(KIND).cast("long"))
 
 
-def window_hash(values: Column, i: Column) -> Column:
-    """Hash of the window that starts at ``i``: of its words and placeholders, or of its tokens if too many are placeholders."""
-    parts = [F.get(values, i + k) for k in range(WINDOW)]
-    slots = sum((F.when(kind_of(p) > 0, 1).otherwise(0) for p in parts[1:]), F.when(kind_of(parts[0]) > 0, 1).otherwise(0))
-    coded = [F.when(kind_of(p) > 0, kind_of(p)).otherwise(p) for p in parts]
-    return F.when(slots <= MOST_SLOTS, F.xxhash64(*coded)).otherwise(F.xxhash64(*parts, F.lit("own")))
+def coded(values: Column) -> Column:
+    """The values with bare kinds in place of placeholders, which no word's value equals."""
+    return F.transform(values, lambda v: F.when(kind_of(v) > 0, kind_of(v)).otherwise(v))
+
+
+def window_hash(values: Column, codes: Column, i: Column) -> Column:
+    """Hash of the window that starts at ``i``: of its words and placeholders, or of its tokens if too many are placeholders.
+
+    Single elements are read: a slice would copy the whole text's array for each window.
+    """
+    parts = [F.get(codes, i + k) for k in range(WINDOW)]
+    slots = [F.least(kind_of(p), F.lit(1).cast("long")) for p in parts]
+    few = sum(slots[1:], slots[0]) <= MOST_SLOTS
+    return F.when(few, F.xxhash64(*parts)).otherwise(F.xxhash64(*[F.get(values, i + k) for k in range(WINDOW)], F.lit("own")))
 
 
 def places(count: Column) -> Column:
@@ -83,9 +90,10 @@ def places(count: Column) -> Column:
 
 def hashes_of(text: Column) -> Column:
     """Hashes of the template windows of a text, in order."""
-    kept = let(tokens_of(text), lambda t: F.filter(t, lambda x, i: is_kept(t, i)))
+    # most tokens are lower-case words, which need no look at their neighbours
+    kept = let(tokens_of(text), lambda t: F.filter(t, lambda x, i: ((x >= "a") & (x < "{")) | is_kept(t, i)))
     values = let(kept, lambda t: F.transform(t, lambda x, i: value_of(x, F.get(t, i - 1))))
-    return let(values, lambda v: F.transform(places(F.size(v) - WINDOW + 1), lambda i: window_hash(v, i)))
+    return let(values, lambda v: let(coded(v), lambda c: F.transform(places(F.size(v) - WINDOW + 1), lambda i: window_hash(v, c, i))))
 
 
 def runs_of(text: Column, length: int) -> Column:
@@ -108,12 +116,15 @@ def windows_of(text: Column) -> Column:
             kept, lambda i, k: F.lower(F.array_join(F.slice(tokens, F.coalesce(F.get(kept, k - 1), F.lit(-1)) + 2, i - F.coalesce(F.get(kept, k - 1), F.lit(-1)) - 1), " "))
         )
 
-        def window(v: Column, w: Column, n: Column, i: Column) -> Column:
+        def window(v: Column, c: Column, w: Column, n: Column, i: Column) -> Column:
             numbers = [F.when(kind_of(F.get(v, i + k)) > 0, F.concat(F.lit(f"{k}#"), F.get(w, i + k))).otherwise("") for k in range(WINDOW)]
             between = [F.when(F.get(n, i + k) != "", F.concat(F.lit(f"{k}@"), F.get(n, i + k))).otherwise(F.lit(f"{k}@")) for k in range(1, WINDOW)]
-            return F.struct(window_hash(v, i).alias("h"), i.alias("at"), F.array(*numbers, *between).alias("slots"))
+            return F.struct(window_hash(v, c, i).alias("h"), i.alias("at"), F.array(*numbers, *between).alias("slots"))
+
+        def windows(v: Column, w: Column, n: Column) -> Column:
+            return let(coded(v), lambda c: F.transform(places(F.size(v) - WINDOW + 1), lambda i: window(v, c, w, n, i)))
 
-        return let(values, lambda v: let(words, lambda w: let(names, lambda n: F.transform(places(F.size(v) - WINDOW + 1), lambda i: window(v, w, n, i)))))
+        return let(values, lambda v: let(words, lambda w: let(names, lambda n: windows(v, w, n))))
 
     return let(tokens_of(text), lambda t: let(F.filter(places(F.size(t)), lambda i: is_kept(t, i)), lambda k: whole(t, k)))
 
