@@ -5,7 +5,7 @@ Each query runs three times to a sink that drops the rows, after a first run tha
 does not count; the median is reported. Queries over the wide table build it as a
 part of their work. ``part_features`` runs over one series for each part, so its
 series grow with the scale factor. The fits run once: ``twelve_fits``
-boosts 10 rounds in each of 12 fits, a tenth of the recorded baseline's 100.
+boosts 100 rounds in each of 12 fits, as the recorded baseline does.
 """
 
 from __future__ import annotations
