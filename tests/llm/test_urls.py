@@ -1,5 +1,8 @@
+import random
+
 import pytest
 
+from tidecast.llm import urls
 from tidecast.llm.urls import RULES, judge_urls, rule_table
 
 URLS = [
@@ -51,3 +54,27 @@ def test_empty_tables(spark, rules):
     if not rules:
         one = judge_urls(spark.createDataFrame([(1, "http://x.net/")], "page_id long, url string"), table).collect()
         assert [tuple(r) for r in one] == [(1, "x.net", "/", None, "allow")]
+
+
+@pytest.mark.parametrize("sweep", [500_000, 3])
+def test_nested_hosts_and_paths_equal_brute_force(spark, monkeypatch, sweep):
+    """Also where a host's URLs are dealt to several sweeps, and without broadcasts."""
+    if sweep == 3:
+        monkeypatch.setattr(urls, "SWEEP_URLS", sweep)
+        monkeypatch.setattr(urls, "small", lambda df, rows=0: df)
+    r = random.Random(7)
+    host = lambda: ".".join(r.choice("abé") for _ in range(r.randint(1, 4)))
+    path = lambda: "/" + "".join(r.choice("x/yß") for _ in range(r.randint(0, 5)))
+    rules = list({(h, p): (r.choice(["block", "allow"]), h, p) for h, p in ((host(), path()) for _ in range(150))}.values())
+    hot = [(i, "h://a.b.a/x/xy") for i in range(40)]  # one host and path holds many rows
+    rows = hot + [(i, f"h://{host()}{path()}") for i in range(200)] + [(900, "h://" + "a." * 5000 + "a/x"), (901, "h://a.b/" + "x" * 200_000)]
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rule_table(spark, rules)).collect()
+    want = []
+    for i, u in rows:
+        h, p = u[4:].split("/", 1)
+        p = "/" + p
+        fits = [(len(rh + rp), len(rh), v, rh + rp) for v, rh, rp in rules if (h == rh or h.endswith("." + rh)) and p.startswith(rp)]
+        best = max(fits, default=None)  # of rules equally long the longer host wins
+        want.append((i, h, p, best and best[3], best[2] if best else "allow"))
+    key = lambda x: tuple(map(str, x))
+    assert sorted((tuple(x) for x in got), key=key) == sorted(want, key=key)

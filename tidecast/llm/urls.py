@@ -1,17 +1,17 @@
-"""URL filter: rules of host and path prefix, joined with URLs by one sorted sweep."""
+"""URL filter: rules of host and path prefix, joined with URLs by sorted sweeps."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import salt, shuffle_partitions, table
+from tidecast.llm.common import small, stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything up to the first "://", then host and path.
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Rows that the rules may take up over all sweeps.
-RULE_ROWS = 50_000_000
+#: URLs of one host that a sweep takes on; a host with more has several sweeps.
+SWEEP_URLS = 500_000
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -30,46 +30,28 @@ def host_key(host: Column | str) -> Column:
     return F.concat(F.concat_ws(".", F.reverse(F.split(host, r"\.", -1))), F.lit("."))
 
 
+def rule_hosts(host: Column, depth: int) -> Column:
+    """Keys of a host and of the hosts around it, of ``depth`` labels at most."""
+
+    def outer(labels: Column) -> Column:
+        counts = F.sequence(F.lit(1), F.least(F.size(labels), F.lit(depth)))
+        return F.transform(counts, lambda n: F.concat(F.concat_ws(".", F.slice(labels, F.lit(1), n)), F.lit(".")))
+
+    return F.get(F.transform(F.array(F.reverse(F.split(host, r"\.", -1))), outer), F.lit(0))
+
+
 def rule_stacks(rules: DataFrame) -> DataFrame:
-    """For each host with rules: where its interval of keys starts, and all rules active there, its own and those around it."""
-    labels = F.reverse(F.split("host", r"\.", -1))
-    own = (
-        rules.where("host is not null and path is not null")
-        .select(
-            host_key(F.translate("host", UPPER, LOWER)).alias("key"),
-            F.translate("host", UPPER, LOWER).alias("host"),
-            "path",
-            F.lower("verdict").alias("verdict"),
-        )
-        .distinct()
-    )
-    rule = F.concat("host", "path")
-    groups = own.groupBy("key").agg(
-        F.collect_list(
-            F.struct(
-                F.length(rule).alias("size"),
-                F.length("host").alias("host_size"),
-                F.col("verdict").alias("verdict"),
-                rule.alias("rule"),
-                F.col("key").alias("key"),
-                F.col("path").alias("path"),
-            )
-        ).alias("rules")
-    )
-    around = own.select("key", "host").distinct().select(
-        "key",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size(labels)),
-                lambda n: F.concat(F.concat_ws(".", F.slice(labels, F.lit(1), n)), F.lit(".")),
-            )
-        ).alias("outer"),
-    )
-    return (
-        around.join(groups.withColumnRenamed("key", "outer"), "outer")
-        .groupBy("key")
-        .agg(F.flatten(F.collect_list("rules")).alias("stack"))
-    )
+    """``key, path, stack`` for each rule: the rules of its host that are open at its start, the longest path first.
+
+    These are its own and those whose path is a prefix of its path. Only prefixes as long as some path of the host are tried.
+    """
+    rule = F.struct(F.length("path").alias("size"), "verdict", "host", "path")
+    own = rules.groupBy("key", "path").agg(F.max(rule).alias("rule"))
+    lengths = own.groupBy("key").agg(F.collect_set(F.length("path")).alias("sizes"))
+    begins = F.transform(F.filter("sizes", lambda n: n <= F.length("path")), lambda n: F.substr("path", F.lit(1), n))
+    around = own.join(lengths, "key").select("key", "path", F.explode(begins).alias("outer"))
+    inside = around.join(own.select("key", F.col("path").alias("outer"), "rule"), ["key", "outer"])
+    return inside.groupBy("key", "path").agg(F.sort_array(F.collect_list("rule"), asc=False).alias("stack"))
 
 
 def judge_urls(df: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -79,40 +61,44 @@ def judge_urls(df: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_
     path. The longest (host and path together) wins, then the longer host, then ``block``; without a rule, ``default``
     holds.
 
-    Hosts are keyed by their labels in reverse, so a rule is an interval of keys and intervals nest. Rules and URLs
-    are sorted together; the sweep hands each URL the stack of rules at the last start before it, which holds every
-    interval around that start, and the URL keeps those whose interval has not ended. URLs are dealt evenly to
-    several sweeps, whatever their hosts; each sweep reads all rules.
+    Hosts are keyed by their labels in reverse, so the hosts around a URL's host are the prefixes of its key. A URL goes to
+    the sweep of each of them that has rules. A sweep sorts the paths of a host's rules and URLs together: a rule is an
+    interval of paths, and intervals nest. It hands each URL the stack of rules open at the last start before it; the URL
+    takes the first of them that has not ended. A stack holds nested rules only, never all rules of a host. A host with
+    many URLs has more sweeps, one for each ``SWEEP_URLS``, and each of them reads the host's rules.
 
     Returns ``id_col, host, path, rule, verdict``, a row for each row of ``df``; other columns are not read. A null
     URL, or one without ``://``, has empty host and path. Rules with null host or path fit nothing; repeated rules
     count once. Without rules every verdict is ``default``.
     """
-    stacks = rule_stacks(rules)
-    sweeps = max(1, min(4 * shuffle_partitions(df.sparkSession), RULE_ROWS // max(1, stacks.count())))
-    kind = stacks.schema["stack"].dataType
     urls = df.select(
-        salt(sweeps).alias("sweep"),
-        F.col(id_col).alias("id"),
-        host_of(F.col(url_col)).alias("host"),
-        path_of(F.col(url_col)).alias("path"),
-    ).select(
-        "sweep", host_key("host").alias("key"), F.lit(1).alias("turn"), "id", "host", "path", F.lit(None).cast(kind).alias("stack")
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")
+    )
+    urls = stored(urls, "urls")  # rows are joined by their number below
+    host = F.translate("host", UPPER, LOWER)
+    known = rules.where("host is not null and path is not null").select(
+        host_key(host).alias("key"), host.alias("host"), "path", F.lower("verdict").alias("verdict")
     )
-    starts = stacks.select(
-        F.explode(F.sequence(F.lit(0), F.lit(sweeps - 1))).alias("sweep"),
-        "key",
-        F.lit(0).alias("turn"),
-        F.lit(None).cast(df.schema[id_col].dataType).alias("id"),
-        F.lit(None).cast("string").alias("host"),
-        F.lit(None).cast("string").alias("path"),
-        "stack",
+    known = stored(known.distinct(), "rules")
+    depth = known.agg(F.max(F.size(F.split("host", r"\.", -1)))).first()[0] or 1
+
+    meets = urls.select("row", "path", F.explode(rule_hosts(F.col("host"), depth)).alias("key")).join(small(known.select("key").distinct()), "key")
+    sweeps = stored(meets.groupBy("key").agg(F.expr(f"count(1) DIV {SWEEP_URLS} + 1").alias("sweeps")), "sweeps")
+    dealt = small(sweeps)
+    turns = meets.join(dealt, "key").select("key", F.expr("pmod(xxhash64(row), sweeps)").alias("sweep"), "path", "row")
+    starts = rule_stacks(known).join(dealt, "key").select("key", F.explode(F.expr("sequence(0L, sweeps - 1)")).alias("sweep"), "path", "stack")
+    # a start has no row and goes before URLs of the same path
+    order = Window.partitionBy("key", "sweep").orderBy("path", F.col("row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = turns.unionByName(starts, allowMissingColumns=True).withColumn("open", F.last("stack", ignorenulls=True).over(order)).where("row IS NOT NULL")
+    first = F.get(F.filter("open", lambda r: F.col("path").startswith(r["path"])), F.lit(0))
+    ranked = F.struct(
+        F.length(F.concat("fit.host", "fit.path")).alias("size"),
+        F.length("fit.host").alias("host_size"),
+        F.col("fit.verdict").alias("verdict"),
+        F.concat("fit.host", "fit.path").alias("rule"),
     )
-    order = Window.partitionBy("sweep").orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = urls.unionByName(starts).withColumn("active", F.last("stack", ignorenulls=True).over(order)).where("turn = 1")
-    fits = F.filter("active", lambda r: F.col("key").startswith(r["key"]) & F.col("path").startswith(r["path"]))
-    best = F.array_max(fits)
-    return swept.select("id", "host", "path", best.alias("best")).select(
+    best = swept.select("row", first.alias("fit")).where("fit IS NOT NULL").groupBy("row").agg(F.max(ranked).alias("best"))
+    return urls.join(best, "row", "left").select(
         F.col("id").alias(id_col),
         "host",
         "path",
@@ -122,7 +108,10 @@ def judge_urls(df: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "verdict string, host string, path string")
+    """Rules written in the source as a table."""
+    names = ("verdict", "host", "path")
+    made = [F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, r, strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*made)))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
